@@ -7,6 +7,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import unused
+
 #: Labelled rows a language gives to its dictionary, at most; of each, the first PIECE characters serve (fitting only).
 SAMPLE_ROWS = 400
 PIECE = 2000
@@ -97,6 +99,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The accepted rows with all their columns; `lang` becomes the language found."""
-    found = docs.withColumn("__lang_found", detect(F.col("text"), dictionaries, margin))
-    return found.where("__lang_found.accepted").withColumn("lang", F.col("__lang_found.lang")).select(*docs.columns)
+    """The accepted rows with all their columns; `lang` becomes the language found. Null, empty and undecided texts go."""
+    name = unused(docs, "lang_found")
+    found = docs.withColumn(name, detect(F.col("text"), dictionaries, margin))
+    return found.where(F.col(name)["accepted"]).withColumn("lang", F.col(name)["lang"]).select(*docs.columns)

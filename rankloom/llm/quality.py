@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import mix, segment_sum, slices, utf8, words
+from rankloom.llm.common import mix, segment_sum, slices, unused, utf8, words
 
 #: Statistic -> sign of its monotonic constraint on the score (0: none).
 FEATURES = {
@@ -46,7 +46,7 @@ def _statistics(texts: pa.Array) -> np.ndarray:
     chars = np.bincount(doc, weights=end - start, minlength=n)
     same = np.zeros(len(doc), bool)
     same[1:] = (hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])
-    pairs = np.unique(np.stack([doc.astype(np.uint64), hashed], 1), axis=0)[:, 0].astype(np.int64) if len(doc) < 2 else _distinct(doc, hashed)
+    pairs = _distinct(doc, hashed)
     # lines: hash of each line's words; lines without words don't count
     breaks = np.flatnonzero(data == 10)
     edges = np.union1d(breaks, offs[:-1])
@@ -213,5 +213,6 @@ def judge(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of at least the threshold, with all their columns unchanged."""
-    return docs.withColumn("__quality", score(F.col("text"), model)).where(F.col("__quality") >= threshold).select(*docs.columns)
+    """The rows of at least the threshold, with all their columns unchanged. Null and empty texts go."""
+    name = unused(docs, "quality_score")
+    return docs.withColumn(name, score(F.col("text"), model)).where(F.col(name) >= threshold).select(*docs.columns)
