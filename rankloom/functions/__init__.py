@@ -1 +1 @@
-
+"""Column expressions on queries, URLs, lists and texts."""
