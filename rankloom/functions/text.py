@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.domains import TOP_LEVEL
 
@@ -170,7 +171,7 @@ def positive_or_one(c: Column) -> Column:
     return F.when(c > 0, c).otherwise(1.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _inflate(payload: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> str:
         try:

@@ -21,7 +21,7 @@ from rankloom.llm.common import slices
 #: Tokenizer file with vocabulary and merges; read, never copied or trained.
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Word forms whose tokens a worker remembers, at most; the memory is emptied when full.
+#: Word forms whose tokens a worker remembers, at most; when full, it keeps those in use.
 REMEMBERED = 600_000
 #: Words of more bytes go through the query that contracts all occurrences of the least pair in one round.
 LONG = 48
@@ -29,31 +29,44 @@ BATCH_BYTES = 8 << 20
 
 _CACHE: dict[str, Codec] = {}
 
-# A round keeps only words that still have a pair; the rows of a word's last round are its tokens. Merging one pair never
-# makes a pair of lower rank than itself, so taking all its occurrences (of overlapping ones every second, from the left) is
-# the same as taking the leftmost again and again.
+# Rows are (k, tok, nk, nt): word and position in one key, the token there, the key and token that follow in the word. A round
+# joins them to the merge table, takes each word's least (rank, position), and contracts there; words without a pair drop out,
+# so the rows of a word's last round are its tokens.
 _ENCODE = """
-with recursive r(w, pos, tok, round) as (
-  select w, pos, tok, 0 from fresh
+with recursive r(k, tok, nk, nt, round) as (
+  select k, tok, nk, nt, 0 from fresh
   union all
-  select w, pos, case when hit then made else tok end, round + 1 from (
-    select *, lag(hit, 1, false) over (partition by w order by pos) as eaten from (
-      select *, {hit} as hit from (
-        select *, min(rank) over (partition by w) as least {more} from (
-          select x.*, m.rank, m.made from (select *, lead(tok) over (partition by w order by pos) as nxt from r) x
-          left join merges m on x.tok = m.l and x.nxt = m.r
+  select r.k, case when r.k = b.k then b.made else r.tok end, case when r.k = b.k then b.after else r.nk end,
+    case when r.k = b.k then b.after_tok when r.nk = b.k then b.made else r.nt end, r.round + 1
+  from r join (
+    select a.w, a.k, a.q, a.made, x.nk as after, x.nt as after_tok from (
+      select w, (least & 4294967295) | (w << 32) as k, q, made from (
+        select k >> 32 as w, min(o) as least, arg_min(nk, o) as q, arg_min(made, o) as made
+        from (select r.k, r.nk, m.made, (m.rank::bigint << 32) | (r.k & 4294967295) as o from r join merges m on r.tok = m.l and r.nt = m.r) group by 1
+      )
+    ) a join r x on x.k = a.q
+  ) b on r.k >> 32 = b.w where r.k <> b.q
+)
+select k >> 32 as w, k, tok, round from r
+"""
+# The same for long words, by windows: takes all occurrences of the least pair in one round, of overlapping ones every second
+# from the left. Merging a pair never makes one of lower rank than itself, so this is the same as taking the leftmost each time.
+_ENCODE_LONG = """
+with recursive r(w, k, tok, round) as (
+  select k >> 32, k, tok, 0 from fresh
+  union all
+  select w, k, case when hit then made else tok end, round + 1 from (
+    select *, lag(hit, 1, false) over (partition by w order by k) as eaten from (
+      select *, coalesce(rank = least, false) and row_number() over (partition by w, coalesce(rank = least, false), i - j order by k) % 2 = 1 as hit from (
+        select *, min(rank) over (partition by w) as least, row_number() over (partition by w order by k) as i, row_number() over (partition by w, rank order by k) as j from (
+          select x.*, m.rank, m.made from (select *, lead(tok) over (partition by w order by k) as nxt from r) x left join merges m on x.tok = m.l and x.nxt = m.r
         )
       ) where least is not null
     )
   ) where not eaten
 )
-select w, pos, tok from (select *, max(round) over (partition by w) as final from r) where round = final order by w, pos
+select w, k, tok, round from r
 """
-_ENCODE_SHORT = _ENCODE.format(hit="coalesce(pos = min(case when rank = least then pos end) over (partition by w), false)", more="")
-_ENCODE_LONG = _ENCODE.format(
-    hit="coalesce(rank = least, false) and row_number() over (partition by w, coalesce(rank = least, false), i - j order by pos) % 2 = 1",
-    more=", row_number() over (partition by w order by pos) as i, row_number() over (partition by w, rank order by pos) as j",
-)
 _DECODE = "select doc, string_agg(bytes, '' order by pos) as hex from tokens join vocabulary using (tok) group by doc order by doc"
 
 
@@ -85,17 +98,24 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Encode words in one query and remember their tokens."""
-        for query, some in ((_ENCODE_SHORT, [x for x in words if len(x.encode()) <= LONG]), (_ENCODE_LONG, [x for x in words if len(x.encode()) > LONG])):
+        for query, some in ((_ENCODE, [x for x in words if len(x.encode()) <= LONG]), (_ENCODE_LONG, [x for x in words if len(x.encode()) > LONG])):
             if not some:
                 continue
             raw = [x.encode() for x in some]
             size = np.array([len(b) for b in raw])
-            start = np.cumsum(size) - size
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
-            self._table("fresh", {"w": w, "pos": (np.arange(len(data)) - np.repeat(start, size)).astype(np.int32), "tok": self.first[data]})
+            end = np.cumsum(size)
+            tok = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+            key = (np.repeat(np.arange(len(raw), dtype=np.int64), size) << 32) + np.arange(len(tok)) - np.repeat(end - size, size)
+            after, after_tok = key + 1, np.append(tok[1:], np.int32(-1))
+            after[end - 1] = after_tok[end - 1] = -1
+            self._table("fresh", {"k": key, "tok": tok, "nk": after, "nt": after_tok})
             out = self.db.execute(query).fetchnumpy()
-            tok, ends = out["tok"].astype(np.int32), np.searchsorted(out["w"], np.arange(1, len(raw) + 1))
+            final = np.zeros(len(raw), np.int64)
+            order = np.argsort(out["round"], kind="stable")
+            final[out["w"][order]] = out["round"][order]
+            rows = np.flatnonzero(out["round"] == final[out["w"]])
+            rows = rows[np.argsort(out["k"][rows])]
+            tok, ends = out["tok"][rows].astype(np.int32), np.searchsorted(out["w"][rows], np.arange(1, len(raw) + 1))
             lo = 0
             for word, hi in zip(some, ends.tolist()):
                 self.known[word] = tok[lo:hi].tobytes()
@@ -104,9 +124,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each whole text as little-endian int32 bytes; specials' strings are ordinary text."""
         split = [self.findall(t) for t in texts]
+        used = set().union(*split) if split else set()
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        fresh = set().union(*split).difference(self.known) if split else set()
+            self.known = {x: self.known[x] for x in used.intersection(self.known)}
+        fresh = used.difference(self.known)
         if fresh:
             self.learn(sorted(fresh))
         known = self.known.__getitem__

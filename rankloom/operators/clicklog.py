@@ -55,11 +55,12 @@ def _ratio(clicks: Column, shows: Column) -> Column:
     return F.when(clicks > 0, F.try_divide(clicks, shows))
 
 
-_CLICKS, _SHOWS = F.count_if(F.col("clicked")), F.count_if(~F.col("clicked"))
+def _totals() -> list[Column]:
+    return [F.count_if(F.col("clicked")).alias("clicks"), F.count_if(~F.col("clicked")).alias("shows")]
 
 
 def ctr_counts(rows: DataFrame, *key: str) -> DataFrame:
-    return rows.groupBy(*key).agg(_CLICKS.alias("clicks"), _SHOWS.alias("shows"))
+    return rows.groupBy(*key).agg(*_totals())
 
 
 def qdoc_ctr(log: DataFrame, queries: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def url_ctr(log: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     past the tenth count in the last. A rank's rate is 0 without shows; if all ten are 0, all are null."""
     last = F.least(F.col("pos"), F.lit(RANKS - 1))
     at = lambda r, k: F.count_if((last == r) & (F.col("clicked") == k))
-    c = _known(entries(log), urls, "url").groupBy("url").agg(_CLICKS.alias("clicks"), _SHOWS.alias("shows"), *[at(r, k).alias(f"{'c' if k else 's'}{r}") for r in range(RANKS) for k in (True, False)])
+    c = _known(entries(log), urls, "url").groupBy("url").agg(*_totals(), *[at(r, k).alias(f"{'c' if k else 's'}{r}") for r in range(RANKS) for k in (True, False)])
     rates = [F.coalesce(F.try_divide(F.col(f"c{r}"), F.col(f"s{r}")), F.lit(0.0)) for r in range(RANKS)]
     some = F.greatest(*rates) > 0
     return c.select("url", _ratio(F.col("clicks"), F.col("shows")).alias("url_global_ctr"), *[F.when(some, x).alias(f"url_rank_ctr_{r + 1}") for r, x in enumerate(rates)])
