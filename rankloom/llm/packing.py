@@ -11,10 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.llm.common import cut
+
+BUCKETS = 16
+TOKEN_BUDGET = 16384
+
 
 def token_length(text: Column) -> Column:
-    """Number of maximal runs of non-white-space characters; 0 for null and for blank texts."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    """Number of maximal runs of characters other than ASCII white space; 0 for null and for blank texts."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -40,7 +45,7 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     best = np.array([0] + [int(cost(np.int64(0), j)) for j in range(1, n + 1)], dtype=np.int64)
     choice = [np.zeros(n + 1, dtype=np.int64)]
     for k in range(1, layers):
-        now, cut = np.full(n + 1, np.iinfo(np.int64).max // 2, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        now, split = np.full(n + 1, np.iinfo(np.int64).max // 2, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
         stack = [(k + 1, n, k, n - 1)]
         while stack:
             lo, hi, from_, to = stack.pop()
@@ -50,10 +55,10 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
             i = np.arange(from_, min(mid - 1, to) + 1)
             total = best[i] + cost(i, mid)
             at = int(np.argmin(total))
-            now[mid], cut[mid] = total[at], i[at]
+            now[mid], split[mid] = total[at], i[at]
             stack += [(lo, mid - 1, from_, int(i[at])), (mid + 1, hi, int(i[at]), to)]
         best = now
-        choice.append(cut)
+        choice.append(split)
     bounds, j = [], n
     for k in range(layers - 1, -1, -1):
         bounds.append(int(x[j - 1]))
@@ -61,7 +66,7 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = 16, token_budget: int = 16384, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, length: Column | None = None) -> DataFrame:
     """One row for each input row: doc_id, n_tokens, bucket, bucket_len, batch_id, slot, padding.
 
     bucket is the index of the row's length bucket and bucket_len its padded length. Inside a bucket rows stand in order
@@ -77,10 +82,7 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket
     """
     spark = docs.sparkSession
     tokens = token_length(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("n_tokens"))
-    from rankloom.llm.common import cut
-
-    rows = cut(rows)
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), tokens.alias("n_tokens")))
     hist = rows.groupBy("n_tokens").count().orderBy("n_tokens").collect()  # as many rows as there are distinct lengths
     lengths, counts = np.array([r[0] for r in hist], dtype=np.int64), np.array([r[1] for r in hist], dtype=np.int64)
     bounds = np.array(optimal_boundaries(lengths, counts, buckets), dtype=np.int64)
@@ -102,3 +104,33 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket
             (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
         )
     )
+
+
+SQL = rf"""
+with recursive t as (select doc_id, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::bigint as n_tokens from documents),
+p as (
+  select x, row_number() over (order by x) as j, sum(c) over (order by x)::bigint as number, sum(c * x) over (order by x)::bigint as tokens
+  from (select n_tokens as x, count(*) as c from t group by n_tokens)
+),
+layers as (select least({BUCKETS}, count(*)) as n from p),
+dp as (
+  select 0::bigint as k, j, x * number - tokens as best, 0::bigint as split from p
+  union all
+  select k, j, m.v, m.i from (
+    select a.k + 1 as k, q.j, min({{'v': a.best + q.x * (q.number - r.number) - (q.tokens - r.tokens), 'i': a.j}}) as m
+    from dp a join p r on r.j = a.j join p q on q.j > a.j where a.k + 1 < (select n from layers) and a.j > a.k group by a.k, q.j
+  )
+),
+back as (
+  select k, j, split from dp where k = (select n - 1 from layers) and j = (select max(j) from p)
+  union all
+  select dp.k, dp.j, dp.split from back join dp on dp.k = back.k - 1 and dp.j = back.split
+),
+b as (select p.x as n_tokens, back.k as bucket, top.x as bucket_len from p join back on p.j > back.split and p.j <= back.j join p top on top.j = back.j),
+r as (
+  select doc_id, n_tokens, bucket, bucket_len, greatest(1, {TOKEN_BUDGET} // greatest(1, bucket_len)) as capacity,
+    row_number() over (partition by bucket order by n_tokens, doc_id nulls first) - 1 as place
+  from t join b using (n_tokens)
+)
+select doc_id, n_tokens, bucket, bucket_len, bucket || '-' || place // capacity as batch_id, place % capacity as slot, bucket_len - n_tokens as padding from r
+"""

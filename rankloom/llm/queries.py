@@ -55,4 +55,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_token_counts, op3_simhash_dedup, op4_byte_bpe, op5_pii_spans, op6_packing, op7_url_filter, op8_quality, op9_topk_search, op10_chat_format)
 }
-ORACLES: dict[str, str] = {"op7_url_filter": urls.SQL, "op9_topk_search": mtree.SQL, "op10_chat_format": chat.SQL}
+ORACLES: dict[str, str] = {"op6_packing": packing.SQL, "op7_url_filter": urls.SQL, "op9_topk_search": mtree.SQL, "op10_chat_format": chat.SQL}
