@@ -248,6 +248,24 @@ def test_candidates_find_each_kind():
             assert [(k, text[a:b]) for k, a, b in pii.candidates(text)] == [(kind, s)], s
     both = "4111111111111111 10.1.2.3 4929348385146306"
     assert [k for k, _, _ in pii.candidates(both)] == ["card", "ip", "card"]
+    near = "+1 (843) 555-7672 170.106.47.218 +1 (268) 555-9530 4845168114407329 +1 (705) 555-5569 12 apples"
+    assert [near[a:b] for _, a, b in pii.candidates(near)] == ["+1 (843) 555-7672", "170.106.47.218", "+1 (268) 555-9530", "4845168114407329", "+1 (705) 555-5569"]
+
+
+def test_numbers_that_fail_their_check_are_no_cards():
+    r = random.Random(3)
+    real, other = [], []
+    while len(real) < 60 or len(other) < 60:
+        n = str(r.randrange(10**15, 10**16))
+        if pii._luhn(n) and n[0] == "4":
+            real.append(n)
+        elif not pii._luhn(n) and len(other) < 60:
+            other.append(n)
+    code = {n: pii.features(n, "card", 0, 16) for n in real + other}
+    counts = {c: sum(x == c for x in code.values()) for c in code.values()}
+    beta = pii.train(counts)
+    p = {n: pii.probability(np.array([c]), beta)[0] for n, c in code.items()}
+    assert all(p[n] > 0.5 for n in real) and not any(p[n] > 0.5 for n in other)
 
 
 def test_reliabilities_against_direct_expectation_maximisation():
