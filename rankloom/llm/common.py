@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; bounds numpy temporaries, never what is read.
 SLICE_BYTES = 2 << 20
@@ -39,6 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """n longs that a repartition by them into n partitions puts one into each."""
+    found: dict[int, int] = {}
+    upto = 0
+    while len(found) < n:
+        lo, upto = upto, max(2 * upto, 16 * n)
+        for p, v in spark.range(lo, upto).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id")).collect():
+            found.setdefault(p, v)
+    return [found[p] for p in range(n)]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -1,10 +1,14 @@
 """Exact top-k search by an M-tree: paged metric nodes with covering radii and distances to their parents.
 
 The vectors are split among routing objects into subtrees; each holds pages, each page a routing object, its covering
-radius and its distance to the subtree's. All rows are queries. The queries of a subtree are searched together, best first:
-their own subtree, then the others in order of their least possible distance. A subtree, then a page, is passed over when the
-triangle inequality puts all it holds beyond the k-th distance that a query has already; whether to compute a query's distance
-to a page's routing object is itself decided from the stored distance between page and subtree.
+radius and its distance to the subtree's. All rows are queries. The queries of near subtrees are searched together, best
+first: their own subtrees, then the others in order of their least possible distance. A subtree, then a page, is passed over
+when the triangle inequality puts all it holds beyond the k-th distance that a query has already; whether to compute a query's
+distance to a page's routing object is itself decided from the stored distance between page and subtree.
+
+What is sent: a subtree goes to every group of subtrees that its bound doesn't keep it from, judged by the k-th distances found
+within each own subtree. There are as many groups as keep the tasks busy, and more only past GROUP subtrees in each, so that
+vectors are sent once for each group, not once for each subtree.
 """
 
 from __future__ import annotations
@@ -16,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut
+from rankloom.llm.common import cut, spread_keys
 
 #: Vectors of a subtree, about and at most; of a page, at most.
 SUBTREE = 2048
 PAGE = 64
+#: Subtrees whose queries one task holds at once, about and at most.
+GROUP = 32
 #: Bytes of routing objects sent to each task, at most: subtrees grow beyond SUBTREE only past this.
 ROUTING_BYTES = 64 << 20
 #: Distances are compared after rounding to this many places, so that equal vectors tie whatever the order of summing.
@@ -104,17 +110,40 @@ class Best:
         bound = np.full((len(rows), len(tree["cover"])), np.inf)
         some = by_parent.any(1)
         bound[some] = np.where(by_parent[some], distances(self.x[rows[some]], tree["routing"]) - tree["cover"][None], np.inf)
+        spans = [np.arange(lo, hi) for lo, hi in zip(tree["bounds"], tree["bounds"][1:])]
+
+        def visit(who: np.ndarray, pages: np.ndarray) -> int:
+            at = np.concatenate([spans[p] for p in pages])
+            self.offer(rows[who], tree["ids"][at], tree["x"][at])
+            return len(who) * len(at)
+
+        # each query's best page first
+        best = bound.argmin(1)
+        alive = bound[np.arange(len(rows)), best] <= self.worst[rows] + SLACK
+        for p in np.unique(best[alive]):
+            done += visit(np.flatnonzero(alive & (best == p)), np.array([p]))
+        bound[np.arange(len(rows)), best] = np.inf
+        # then the others, best first for all together; several at once unless most of that would be in vain
         pages = np.argsort(bound.min(0), kind="stable")
         for i in range(0, len(pages), group):
             part = pages[i : i + group]
-            alive = bound[:, part] <= self.worst[rows][:, None] + SLACK
-            wanted = part[alive.any(0)]
-            who = rows[alive.any(1)]
-            if not len(who):
-                continue
-            at = np.concatenate([np.arange(tree["bounds"][p], tree["bounds"][p + 1]) for p in wanted])
-            done += len(who) * len(at)
-            self.offer(who, tree["ids"][at], tree["x"][at])
+            reach = self.worst[rows][:, None] + SLACK
+            alive = np.isfinite(bound[:, part]) & (bound[:, part] <= reach)
+            who, wanted = np.flatnonzero(alive.any(1)), part[alive.any(0)]
+            if len(who) and alive.sum() > 0.7 * len(who) * len(wanted):
+                # a query's best page lies in some group: it was visited and must not be offered again
+                seen = np.isin(best[who], wanted)
+                if not seen.any():
+                    done += visit(who, wanted)
+                    continue
+                if (~seen).any():
+                    done += visit(who[~seen], wanted)
+                who = who[seen]
+            for p in wanted if len(who) else ():
+                one = who[bound[who, p] <= self.worst[rows[who]] + SLACK]
+                one = one[np.isfinite(bound[one, p])]
+                if len(one):
+                    done += visit(one, np.array([p]))
         return done
 
 
@@ -159,7 +188,9 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str
         return spark.createDataFrame([], schema)
     number = max(1, min(-(-n // subtree), ROUTING_BYTES // (8 * dim)))
     routing = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(number).select("v").collect()], dtype=np.float64)
+    routing = build(np.arange(len(routing)), routing, page)["x"]  # near ones side by side
     sent = spark.sparkContext.broadcast(routing)
+    groups = max(min(number, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // (subtree * GROUP)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,31 +207,54 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str
     def plant(key: tuple, t: pa.Table) -> pa.Table:
         ids, v = t.column("id").combine_chunks(), t.column("v").combine_chunks()
         tree = build(ids.to_numpy(), _matrix(v, dim), page)
-        name = key[0].as_py() * 100_000 + key[1].as_py()
-        return pa.table({"tree": [name], "center": [tree["center"].tolist()], "radius": [float(tree["radius"])], "data": pa.array([_pack(tree)], pa.binary())})
-
-    trees = cut(split.groupBy("part", "chunk").applyInArrow(plant, "tree bigint, center array<double>, radius double, data binary"))
-    heads = trees.select("tree", "center", "radius")
+        own = Best(tree["ids"], tree["x"], k)
+        own.search(tree)
+        part, chunk = (x.as_py() for x in key)
+        family = int((part + chunk / t.column("chunks")[0].as_py()) * groups / number)
+        head = {"tree": [part * 100_000 + chunk], "family": [family], "center": [tree["center"].tolist()], "radius": [float(tree["radius"])], "worst": [float(own.worst.max())]}
+        return pa.table(head | {"data": pa.array([_pack(tree)], pa.binary())})
+
+    trees = cut(split.groupBy("part", "chunk").applyInArrow(plant, "tree bigint, family bigint, center array<double>, radius double, worst double, data binary"))
+    heads = trees.select("tree", "family", "center", "radius", "worst")
     apart = F.sqrt(F.aggregate(F.zip_with("q.center", "t.center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
-    least = F.when(F.col("q.tree") == F.col("t.tree"), F.lit(-1.0)).otherwise(F.greatest(F.lit(0.0), apart - F.col("q.radius") - F.col("t.radius")))
-    visits = heads.alias("q").crossJoin(heads.alias("t")).select(F.col("q.tree").alias("block"), F.col("t.tree").alias("tree"), least.alias("least"))
-    parts = max(1, min(trees.count(), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
-    stream = visits.join(trees.select("tree", "data"), "tree").repartition(parts, "block").sortWithinPartitions("block", "least", "tree")
+    own = F.col("q.family") == F.col("t.family")
+    least = F.when(own, F.lit(-1.0)).otherwise(F.greatest(F.lit(0.0), apart - F.col("q.radius") - F.col("t.radius")))
+    visits = heads.alias("q").crossJoin(heads.alias("t")).select(F.col("q.family").alias("family"), F.col("t.tree").alias("tree"), least.alias("least"), F.col("q.worst").alias("worst"))
+    visits = visits.where(F.col("least") <= F.col("worst") + SLACK).groupBy("family", "tree").agg(F.min("least").alias("least"))
+    blocks = spark.createDataFrame(list(enumerate(spread_keys(spark, groups))), "family bigint, block bigint")
+    stream = visits.join(blocks, "family").join(trees.select("tree", "data"), "tree").repartition(groups, "block").sortWithinPartitions("block", "least", "tree")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, block = None, None
+        held: list[tuple[Best, dict[str, np.ndarray]]] = []
+        block, among = None, False
+
+        def own_ones() -> None:
+            for i in range(len(held)):  # each in its own subtree, then in its neighbours'
+                for j in (i, *range(i), *range(i + 1, len(held))):
+                    held[i][0].search(held[j][1])
+
         for b in batches:
             for name, least, data in zip(b.column("block").to_pylist(), b.column("least").to_pylist(), b.column("data")):
                 if name != block:
-                    if best is not None:
-                        yield answer(best)
+                    if held:
+                        own_ones() if not among else None
+                        yield from (answer(best) for best, _ in held)
+                    held, block, among = [], name, False
+                if least < 0:
                     own = _unpack(data.as_py())
-                    best, block = Best(own["ids"], own["x"], k), name
-                    best.search(own)
-                elif least <= best.worst.max() + SLACK:
-                    best.search(_unpack(data.as_py()))
-        if best is not None:
-            yield answer(best)
+                    held.append((Best(own["ids"], own["x"], k), own))
+                    continue
+                if not among:
+                    own_ones()
+                    among = True
+                other = None
+                for best, _ in held:
+                    if least <= best.worst.max() + SLACK:
+                        other = other or _unpack(data.as_py())
+                        best.search(other)
+        if held:
+            own_ones() if not among else None
+            yield from (answer(best) for best, _ in held)
 
     def answer(best: Best) -> pa.RecordBatch:
         r, c = np.nonzero(np.isfinite(best.d))

@@ -59,7 +59,7 @@ def brute_top(rows, k):
     for i, v in zip(ids, x):
         d = np.round(np.sqrt(((x - v) ** 2).sum(1)), 9)
         near = sorted((a, b) for a, b in zip(d, ids) if b != i)[:k]
-        out += [(int(i), r + 1, int(b), round(float(a), 5)) for r, (a, b) in enumerate(near)]
+        out += [(int(i), r + 1, int(b), round(float(np.floor(a * 1e6 + 0.5) / 1e6), 5)) for r, (a, b) in enumerate(near)]
     return sorted(out)
 
 
