@@ -48,8 +48,8 @@ def conversations(turns: DataFrame, machine: Machine | None = None) -> DataFrame
     machine rejects). Rows of null conv_id form one conversation. Roles are compared in lower case without outer blanks.
     """
     machine = machine or Machine()
-    rows = turns.select("conv_id", "turn", F.trim(F.lower("role")).alias("role"), "text").distinct()
-    c = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = turns.select("conv_id", F.struct("turn", F.trim(F.lower("role")).alias("role"), "text").alias("t"))
+    c = rows.groupBy("conv_id").agg(F.sort_array(F.array_distinct(F.collect_list("t"))).alias("turns"))  # one shuffle
     missing = F.exists("turns", lambda t: t["turn"].isNull() | t["role"].isNull() | t["text"].isNull())
     again = F.size(F.array_distinct(F.transform("turns", lambda t: t["turn"]))) < F.size("turns")
     order = ~_run(F.col("turns"), machine).isin(*machine.accept)
