@@ -8,22 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.operators.lineage import cut_lineage
 from rankloom.operators.similarity import number_on
 
 ASSETS = r"(?i)\.(?:js|css|png|jpe?g|gif|ico|svg|webp|bmp|pdf|docx?|xlsx?|zip|rar|gz|mp3|mp4|avi|swf|xml|rss)(?:[?#].*)?$"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared checkpoint folder that the session names, else in a local one."""
-    import tempfile
-
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
-    return df.checkpoint()
-
-
 def page_links(pages: DataFrame) -> DataFrame:
     """(doc_id, url) of every absolute link of pages (doc_id, html), repeats kept."""
     return pages.select("doc_id", F.explode(X.extract_urls(F.col("html"))).alias("url"))
@@ -87,6 +77,7 @@ def page_rank(edges: DataFrame, alpha: float = 0.1, iterations: int = 10, dangli
     spread over all; compat loses it in the first round. stop_share: end when more than this share of nodes moved by less
     than stop_delta. Repeated edges count each. The ranks' lineage is cut every few rounds.
     """
+    edges = cut(edges.select("src", "dst"))  # read again every round, not made again
     degree = cut(degrees(edges).select("id", "n_out"))
     n = degree.count() if n is None else n
     if n == 0:
@@ -114,13 +105,20 @@ def page_rank(edges: DataFrame, alpha: float = 0.1, iterations: int = 10, dangli
     return ranks.select("id", "pr")
 
 
-def hits(edges: DataFrame, iterations: int = 3, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+def hits(edges: DataFrame, iterations: int = 3, compat: bool = False, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """(id, a, h): authority is the sum of the hub values that link here, hub the sum of the authorities linked to, both of the
-    round before; start 1, not normalised. Repeated edges count each."""
+    round before; start 1, not normalised. Repeated edges count each. compat: both are sums over what a node links to, and
+    all links turn round after every round."""
+    edges = cut(edges.select("src", "dst"))  # read again every round, not made again
     scores = nodes(edges).select("id", F.lit(1.0).alias("a"), F.lit(1.0).alias("h"))
     for k in range(iterations):
         if k and k % 3 == 0:
             scores = cut(scores)
+        if compat:
+            here, there = ("src", "dst") if k % 2 == 0 else ("dst", "src")
+            sums = edges.join(scores, edges[there] == scores["id"]).groupBy(F.col(here).alias("id")).agg(F.sum("h").alias("na"), F.sum("a").alias("nh"))
+            scores = scores.select("id").join(sums, "id", "left").select("id", F.coalesce("na", F.lit(0.0)).alias("a"), F.coalesce("nh", F.lit(0.0)).alias("h"))
+            continue
         a = edges.join(scores, edges["src"] == scores["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("h").alias("na"))
         h = edges.join(scores, edges["dst"] == scores["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("nh"))
         scores = scores.select("id").join(a, "id", "left").join(h, "id", "left").select("id", F.coalesce("na", F.lit(0.0)).alias("a"), F.coalesce("nh", F.lit(0.0)).alias("h"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.operators.lineage import cut_lineage
 
 TOP = 20
 THRESHOLD = 0.1
@@ -96,10 +97,11 @@ def number_on(known: DataFrame, new: DataFrame, id_col: str, name_col: str) -> D
     """known and new names, these with the ids after the largest, in order of name.
 
     Names are sorted by range, numbered inside each range, and moved on by the sizes of the ranges before: no task sees all.
+    The ranges are kept, as sampling again could draw them elsewhere.
     """
     spark = known.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = new.select(name_col).repartitionByRange(parts, name_col).withColumn("__part", F.spark_partition_id())
+    ranged = cut_lineage(new.select(name_col).repartitionByRange(parts, name_col).withColumn("__part", F.spark_partition_id()))
     bounds = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min(name_col).alias("__lo"))
     before = Window.orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)
     starts = bounds.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))  # one row a range

@@ -16,7 +16,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The click log (sid, query, geo, shown, clicked, ts): an order is a session, its lines the results, returned ones clicked."""
     lines, orders, customers = (load(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    rows = lines.select("l_orderkey", line.alias("p"), F.concat(F.lit("p"), F.col("l_partkey"), F.lit(".com")).alias("url"), (F.col("l_returnflag") == "R").alias("clk"), F.unix_millis("l_shipdate").alias("ts"))
+    rows = lines.select("l_orderkey", line.alias("p"), F.concat(F.lit("p"), F.col("l_partkey"), F.lit(".com")).alias("url"), (F.col("l_returnflag") == "R").alias("clk"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts"))
     rows = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("p", "url", "clk", "ts"))).alias("r"))
     who = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat_ws(" ", F.lower("c_mktsegment"), F.lower("o_orderpriority")).alias("query"), F.col("c_nationkey").alias("geo"))
     hits = F.sort_array(F.transform(F.filter("r", lambda x: x["clk"]), lambda x: F.struct(x["ts"].alias("ts"), x["p"].alias("p"), x["url"].alias("url"))))

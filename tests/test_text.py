@@ -100,6 +100,9 @@ def test_hits_and_counters(spark):
     for k, want in enumerate(["32 11 01 11 11", "32 21 03 23 13", "94 21 03 23 13"], 1):
         got = values(G.hits(e, k), "a", "h")
         assert [got[n] for n in "ABCDE"] == [(float(w[0]), float(w[1])) for w in want.split()]
+    for k, want in enumerate(["22 11 11 11 11", "33 22 00 22 11", "44 11 33 33 33"], 1):
+        got = values(G.hits(e, k, compat=True), "a", "h")
+        assert [got[n] for n in "ABCDE"] == [(float(w[0]), float(w[1])) for w in want.split()]
     assert tuple(G.graph_counters(e).first()) == (5, 0, 1, 0)
     assert G.adjacency_lines(e).where("value like 'A%'").first().value == "A\t2\tB\tD\t3\tC\tD\tE"
     assert [r.id for r in G.sorted_by(G.hits(e), "a").collect()][0] == "A"
@@ -174,6 +177,8 @@ def test_files(spark, tmp_path):
     assert (1, "Foo ") in {tuple(r) for r in io.read_dictionary(spark, str(tmp_path / "d.tsv"), True, normalise=False).collect()}
     (tmp_path / "p.csv").write_text("QueryId,DocumentId\n1,2\nx,y\n3,4\n")
     assert [tuple(r) for r in io.read_test_pairs(spark, str(tmp_path / "p.csv")).collect()] == [(1, 2, -1), (3, 4, -1)]
+    (tmp_path / "stop.txt").write_text("the\nand \n\nthe\n")
+    assert io.read_stop_words(spark, str(tmp_path / "stop.txt")) == ["and", "the"]
     rows = spark.createDataFrame([(5, 1, 7, 0.5, None), (6, 0, 7, None, None)], "url_id int, mark int, query_id int, a double, b double")
     lines = io.libsvm_lines(rows, ["a", "b"])
     assert [r.value for r in lines.collect()] == ["5\t1 qid:7 0:0.5", "6\t0 qid:7"]
