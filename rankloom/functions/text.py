@@ -100,9 +100,13 @@ def char_ngrams_tail(c: Column, n: int) -> Column:
 
 
 def char_ngrams(c: Column, n: int, include_last: bool = False) -> Column:
-    """Grams of the lower-cased text without spaces; the last full gram only with include_last."""
+    """Grams of the lower-cased text without spaces; the last full gram only with include_last.
+
+    One pass of a look-ahead over the text: taking substrings by place would walk from its start for every gram.
+    """
     t = F.lower(F.replace(c, F.lit(" "), F.lit("")))
-    return _starts(F.char_length(t) - n + int(include_last), lambda i: F.substr(t, i, F.lit(n)))
+    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
+    return grams if include_last else F.slice(grams, F.lit(1), F.greatest(F.size(grams) - 1, F.lit(0)))
 
 
 def clean_text(c: Column) -> Column:

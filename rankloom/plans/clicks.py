@@ -200,16 +200,16 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 _LINKS = """
 li as (select distinct query, url, c from ent),
 n as (select query, sum(1 - c) as ns, sum(c) as nc from li group by query having sum(1 - c) > 0 and sum(c) > 0),
-pr as (select a.query, b.query as similar, a.c, count(*) as m from li a join li b on a.url = b.url and a.c = b.c and a.query <> b.query group by all),
+pr as (select a.query, b.query as sim, a.c, count(*) as m from li a join li b on a.url = b.url and a.c = b.c and a.query <> b.query group by all),
 ds as (
-  select query, similar, sum(case when c = 0 then m / (x.ns * y.ns) else 5.0 * m / (x.nc * y.nc) end) as dist
-  from pr join n x using (query) join n y on pr.similar = y.query where query in (select query from qd) group by query, similar
+  select query, sim, sum(case when c = 0 then m / (x.ns * y.ns) else 5.0 * m / (x.nc * y.nc) end) as dist
+  from pr join n x using (query) join n y on pr.sim = y.query where query in (select query from qd) group by query, sim
 ),
-rk as (select *, row_number() over (partition by query order by round(dist, 12) desc, similar) as rank from ds)
+rk as (select *, row_number() over (partition by query order by round(dist, 12) desc, sim) as rank from ds)
 """
 
 
-@query(f"with {BASE}, {_LINKS} select query, rank::int as rank, similar, round(dist, 6) as dist from rk where rank <= 20")
+@query(f"with {BASE}, {_LINKS} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from rk where rank <= 20")
 def query_similarity_links_top20(spark: SparkSession, d: str) -> DataFrame:
     log, queries, _ = _in(spark, d)
     known, every = S.split_profiles(S.profiles(log), queries)
@@ -221,14 +221,14 @@ _TEXT = f"""{_WORDS},
 wn as (select query, count(*) as n from wd group by query),
 dw as (select distinct query, word from wd),
 ts as (
-  select a.query, b.query as similar, count(*) / (any_value(x.n) * any_value(y.n)) as dist from dw a join dw b on a.word = b.word and a.query <> b.query
+  select a.query, b.query as sim, count(*) / (any_value(x.n) * any_value(y.n)) as dist from dw a join dw b on a.word = b.word and a.query <> b.query
   join wn x on a.query = x.query join wn y on b.query = y.query where a.query in (select query from qd) group by a.query, b.query
 ),
-tk as (select *, row_number() over (partition by query order by round(dist, 12) desc, similar) as rank from ts where dist > .1)
+tk as (select *, row_number() over (partition by query order by round(dist, 12) desc, sim) as rank from ts where dist > .1)
 """
 
 
-@query(f"with {BASE}, {_TEXT} select query, rank::int as rank, similar, round(dist, 6) as dist from tk where rank <= 20")
+@query(f"with {BASE}, {_TEXT} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from tk where rank <= 20")
 def query_similarity_text_top20(spark: SparkSession, d: str) -> DataFrame:
     log, queries, _ = _in(spark, d)
     known, every = S.split_profiles(S.profiles(log), queries)
@@ -236,7 +236,7 @@ def query_similarity_text_top20(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"with {BASE}, {_TEXT}, nw as (select distinct similar as query from tk where rank <= 20 and similar not in (select query from qd)) "
+    f"with {BASE}, {_TEXT}, nw as (select distinct sim as query from tk where rank <= 20 and sim not in (select query from qd)) "
     "select query_id, query from qd union all select (select max(query_id) from qd) + row_number() over (order by query), query from nw"
 )
 def extend_query_dictionary(spark: SparkSession, d: str) -> DataFrame:
