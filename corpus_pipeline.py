@@ -41,11 +41,21 @@ STAGES = [("language ID", language), ("quality rules", quality_rules), ("SimHash
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    A stage's table goes once the next one is written; the last of them stays, as the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     at = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            _drop(spark, f"{at}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
