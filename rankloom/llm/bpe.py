@@ -25,7 +25,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 600_000
 #: Words of more bytes go through the query that contracts all occurrences of the least pair in one round.
 LONG = 48
-BATCH_BYTES = 8 << 20
+#: Words and tokens of one query, at most, and bytes of text looked at together: they bound memory, never what is read.
+AT_ONCE = 40_000
+TOKENS_AT_ONCE = 2_000_000
+BATCH_BYTES = 4 << 20
 
 _CACHE: dict[str, Codec] = {}
 
@@ -85,7 +88,7 @@ class Codec:
             self.first[b] = ids[c]
         self.known: dict[str, bytes] = {}
         self.findall = regex.compile(PATTERN).findall
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         pieces = {i: "".join(f"{byte_of[c]:02X}" for c in p) for p, i in ids.items() if all(c in byte_of for c in p)}
         left, right, made = (np.array([ids[k] for k in part], dtype=np.int32) for part in ([m[0] for m in merges], [m[1] for m in merges], [m[0] + m[1] for m in merges]))
         self._table("merges", {"l": left, "r": right, "rank": np.arange(len(merges), dtype=np.int32), "made": made})
@@ -97,10 +100,11 @@ class Codec:
         self.db.unregister("incoming")
 
     def learn(self, words: list[str]) -> None:
-        """Encode words in one query and remember their tokens."""
-        for query, some in ((_ENCODE, [x for x in words if len(x.encode()) <= LONG]), (_ENCODE_LONG, [x for x in words if len(x.encode()) > LONG])):
-            if not some:
-                continue
+        """Encode words, AT_ONCE in a query, and remember their tokens."""
+        short, long = [x for x in words if len(x.encode()) <= LONG], [x for x in words if len(x.encode()) > LONG]
+        parts = [(_ENCODE, short[i : i + AT_ONCE]) for i in range(0, len(short), AT_ONCE)]
+        parts += [(_ENCODE_LONG, long[i : i + AT_ONCE]) for i in range(0, len(long), AT_ONCE)]
+        for query, some in parts:
             raw = [x.encode() for x in some]
             size = np.array([len(b) for b in raw])
             end = np.cumsum(size)
@@ -135,12 +139,15 @@ class Codec:
 
     def decode(self, tokens: np.ndarray, docs: np.ndarray, number: int) -> list[bytes]:
         """Bytes of each of `number` texts from rows (text's index, token) in order."""
-        self.db.register("tokens", pa.table({"doc": docs.astype(np.int32), "pos": np.arange(len(tokens), dtype=np.int32), "tok": tokens}))
-        out = self.db.execute(_DECODE).fetchnumpy()
-        self.db.unregister("tokens")
         texts = [b""] * number
-        for d, h in zip(out["doc"].tolist(), out["hex"]):
-            texts[d] = bytes.fromhex(h)
+        docs = docs.astype(np.int32)
+        for i in range(0, len(tokens), TOKENS_AT_ONCE):
+            tok, doc = tokens[i : i + TOKENS_AT_ONCE], docs[i : i + TOKENS_AT_ONCE]
+            self.db.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
+            out = self.db.execute(_DECODE).fetchnumpy()
+            self.db.unregister("tokens")
+            for d, h in zip(out["doc"].tolist(), out["hex"]):
+                texts[d] += bytes.fromhex(h)
         return texts
 
 

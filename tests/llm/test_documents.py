@@ -228,6 +228,18 @@ def test_bpe_round_trip_and_odd(spark):
     assert bpe.tokenize(docs(spark, [])).count() == 0
 
 
+def test_bpe_in_small_parts(monkeypatch):
+    c = bpe.codec()
+    texts = [prose("en", 50, 1), "", "é" * 90, "x y " * 40, "ab" * 300]
+    whole = c.encode(texts)
+    monkeypatch.setattr(bpe, "AT_ONCE", 3)
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 7)
+    c.known.clear()
+    assert c.encode(texts) == whole
+    tokens = np.frombuffer(b"".join(whole), np.int32)
+    assert c.decode(tokens, np.repeat(np.arange(5), [len(w) // 4 for w in whole]), 5) == [t.encode() for t in texts]
+
+
 # personal data
 
 PRIVATE = {
