@@ -56,6 +56,19 @@ def tfidf_pair_score(docs: DataFrame, queries: DataFrame, pairs: DataFrame, n: i
     return pairs.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias(f"tf_idf_{n}"))
 
 
+def gram_pairs(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """Distinct (query_id, doc_id) that share a character gram of the title or body."""
+    grams = queries.select("query_id", F.explode(F.array_distinct(X.char_ngrams(F.col("text"), n))).alias("term"))
+    held = char_terms(docs, n, grams.select("term").distinct()).select("doc_id", "term").distinct()
+    return held.join(grams, "term").select("query_id", "doc_id").distinct()
+
+
+def term_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Distinct (query_id, doc_id) that share a token of the title or body."""
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.concat("title", "body"))).alias("term"))
+    return held.join(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")), "term").select("query_id", "doc_id").distinct()
+
+
 def tokenized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.tokenize(F.col("title")).alias("title"), X.tokenize(F.col("body")).alias("body"))
 

@@ -24,13 +24,13 @@ def query(sql: str | None = None):
     return add
 
 
-def _in(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+def _in(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return A.sessions(spark, d), A.query_dictionary(spark, d, whole), A.url_dictionary(spark, d, whole)
 
 
 @query(f"with {BASE}, {CTR} select query, url, clicks::bigint as clicks, shows::bigint as shows, round(case when clicks > 0 and shows > 0 then clicks / shows end, 6) as qdoc_ctr from ctr")
-def qdoc_ctr(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.qdoc_ctr(*_in(spark, d)))
+def qdoc_ctr(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(C.qdoc_ctr(*_in(spark, d, whole)))
 
 
 @query(f"with {BASE}, {CTR} select query, url, round(clicks / shows, 6) as ctr from ctr where clicks > 0 and shows > 0")
@@ -66,8 +66,8 @@ def url_rank_ctr(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {BASE}, {CTR} select query, url, a_n::bigint as a_n, a_d::bigint as a_d, s_n::bigint as s_n, s_d::bigint as s_d from sdbn")
-def sdbn_counters(spark: SparkSession, d: str) -> DataFrame:
-    return C.click_model_counters(*_in(spark, d))
+def sdbn_counters(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return C.click_model_counters(*_in(spark, d, whole))
 
 
 _PLAIN = """
@@ -95,8 +95,8 @@ qf as (
 
 
 @query(f"with {BASE}, {_QUERY} select query, {sql_rounded(C.QUERY_FEATURES)} from qf")
-def features_query(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, _ = _in(spark, d)
+def features_query(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    log, queries, _ = _in(spark, d, whole)
     return rounded(C.features_query(log, queries))
 
 
@@ -121,8 +121,8 @@ uf as (
 
 
 @query(f"with {BASE}, {_URL} select url, click_count::bigint as click_count, shows_count::bigint as shows_count from uf")
-def url_counts(spark: SparkSession, d: str) -> DataFrame:
-    log, _, urls = _in(spark, d)
+def url_counts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    log, _, urls = _in(spark, d, whole)
     return C.url_positions(log, urls).select("url", "click_count", "shows_count")
 
 
@@ -133,8 +133,8 @@ def url_mean_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {BASE}, {_RANK_SQL}, {_URL} select url, {sql_rounded(C.URL_FEATURES[:11])}, click_count::bigint as click_count, shows_count::bigint as shows_count, round(mean_click_pos, 6) as mean_click_pos, round(mean_show_pos, 6) as mean_show_pos from rc join uf using (url)")
-def features_url(spark: SparkSession, d: str) -> DataFrame:
-    log, _, urls = _in(spark, d)
+def features_url(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    log, _, urls = _in(spark, d, whole)
     return rounded(C.features_url(log, urls))
 
 
@@ -149,8 +149,8 @@ qf2 as (select *, (a_n + .1) / (a_d + .2) as a_u, (s_n + .1) / (s_d + .2) as s_u
 
 
 @query(f"with {BASE}, {CTR}, {_QD} select query, url, round(qdoc_ctr, 6) as qdoc_ctr, a_n, a_d, s_n, s_d, round(a_u, 6) as a_u, round(s_u, 6) as s_u, round(r_u, 6) as r_u from qf2")
-def features_qd(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.features_qd(*_in(spark, d)))
+def features_qd(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(C.features_qd(*_in(spark, d, whole)))
 
 
 _FLAT = "array_to_string(shown, ',') as shown, array_to_string(clicked, ',') as clicked"

@@ -38,44 +38,45 @@ jx as (select * from jf where qd_qdoc_ctr is not null or url_click_count is not
 """
 
 
-def _joined(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+def _joined(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d, whole), A.url_dictionary(spark, d, whole)
+    pairs = A.log_pairs(spark, d) if whole else A.click_pairs(spark, d)
     qd = L.prefixed(L.to_ids(C.qdoc_ctr(log, queries, urls).select("query", "url", "qdoc_ctr"), queries, urls), "qd", L.KEYS)
     url = L.prefixed(L.to_ids(C.url_positions(log, urls).select("url", "click_count", "shows_count"), None, urls), "url", L.KEYS)
     q = L.prefixed(L.to_ids(C.features_query(log, queries).select("query", "mean_click"), queries), "query", L.KEYS)
-    return L.join_features(L.known_pairs(A.click_pairs(spark, d), queries, urls), qd, url, q)
+    return L.join_features(L.known_pairs(pairs, queries, urls), qd, url, q)
 
 
 @query(PAIRS + "select query_id, url_id, mark, round(qd_qdoc_ctr, 6) as qd_qdoc_ctr, url_click_count::bigint as url_click_count, url_shows_count::bigint as url_shows_count, round(query_mean_click, 6) as query_mean_click from jx")
-def pair_feature_join(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_joined(spark, d))
+def pair_feature_join(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(_joined(spark, d, whole))
 
 
 @query(PAIRS + """, z as (select query_id, url_id, coalesce(qd_qdoc_ctr, 0) as a, coalesce(url_click_count, 0)::double as b, coalesce(query_mean_click, 0) as c from jx)
 select query_id, url_id, round(a, 6) as a, b, round(c, 6) as c, round(a * b, 6) as a_b, round(a * c, 6) as a_c, round(b * c, 6) as b_c from z""")
-def interactions_deg2(spark: SparkSession, d: str) -> DataFrame:
+def interactions_deg2(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    z = _joined(spark, d).select(*L.KEYS, zero("qd_qdoc_ctr").alias("a"), zero("url_click_count").alias("b"), zero("query_mean_click").alias("c"))
+    z = _joined(spark, d, whole).select(*L.KEYS, zero("qd_qdoc_ctr").alias("a"), zero("url_click_count").alias("b"), zero("query_mean_click").alias("c"))
     return rounded(L.interactions(z, ["a", "b", "c"]))
 
 
 @query(PAIRS + """, qq as (select query_id, row_number() over (order by query_id) as k, count(*) over () as n from (select distinct query_id from jx))
 select query_id, url_id, mark, k > n - floor(n * .2) as validation from jx join qq using (query_id)""")
-def query_group_split(spark: SparkSession, d: str) -> DataFrame:
-    return L.split_by_query(_joined(spark, d).select(*L.KEYS, "mark"))
+def query_group_split(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return L.split_by_query(_joined(spark, d, whole).select(*L.KEYS, "mark"))
 
 
 @query(PAIRS + """, sc as (select query_id, url_id, mark, coalesce(round(url_click_count / 1.0, 6), 0) as score from jx),
 rn as (select *, row_number() over (partition by query_id order by score desc, url_id) as r, row_number() over (partition by query_id order by mark desc, url_id) as i from sc),
 dc as (select query_id, sum((pow(2, mark) - 1) / log2(r + 1)) filter (r <= 5) as dcg, sum((pow(2, mark) - 1) / log2(i + 1)) filter (i <= 5) as best from rn group by query_id)
 select query_id, round(coalesce(dcg / nullif(best, 0), 1), 6) as ndcg from dc""")
-def ndcg_at_5(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.ndcg(_joined(spark, d).withColumn("score", F.coalesce("url_click_count", F.lit(0))).select(*L.KEYS, "mark", "score")))
+def ndcg_at_5(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(L.ndcg(_joined(spark, d, whole).withColumn("score", F.coalesce("url_click_count", F.lit(0))).select(*L.KEYS, "mark", "score")))
 
 
 @query(PAIRS + "select query_id, count(*) as n from jx group by query_id")
-def group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return L.group_sizes(_joined(spark, d))
+def group_sizes(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return L.group_sizes(_joined(spark, d, whole))
 
 
 @query(PAIRS + "select query_id, url_id, mark from cp union all select query_id, url_id, -1 from kp")
@@ -109,41 +110,42 @@ fm as (select sm.*, score is null as missing, coalesce(score, min(score) over (p
 """
 
 
-def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sample(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)  # what is scored: known entries only
+    pairs = A.log_pairs(spark, d) if whole else A.click_pairs(spark, d)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("url_id")))
     scores = L.to_ids(C.qdoc_ctr(log, queries, urls), queries, urls).select(*L.KEYS, F.coalesce(F.round("qdoc_ctr", 6), F.lit(0.0)).alias("score"))
-    return A.click_pairs(spark, d).select("query_id", "url_id", place.alias("position")), scores
+    return pairs.select("query_id", "url_id", place.alias("position")), scores
 
 
 @query(_SAMPLE + "select query_id, row_number() over (partition by query_id order by filled desc, position)::int as rank, url_id, round(filled, 6) as filled from fm")
-def submission_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.submission(*_sample(spark, d)))
+def submission_fallback(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(L.submission(*_sample(spark, d, whole)))
 
 
 @query(_SAMPLE + "select query_id, round(avg(missing::int), 6) as share from fm group by query_id having avg(missing::int) > .1")
-def unscored_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.unscored_share(*_sample(spark, d)))
+def unscored_share(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(L.unscored_share(*_sample(spark, d, whole)))
 
 
 @query(_SAMPLE + "select distinct url_id from fm where missing")
-def unscored_urls(spark: SparkSession, d: str) -> DataFrame:
-    return L.unscored_urls(*_sample(spark, d))
+def unscored_urls(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return L.unscored_urls(*_sample(spark, d, whole))
 
 
 @query(PAIRS + """select url_id || chr(9) || mark || ' qid:' || query_id || coalesce(' 0:' || url_click_count::bigint, '') || coalesce(' 1:' || url_shows_count::bigint, '') as value from jx""")
-def libsvm_rows(spark: SparkSession, d: str) -> DataFrame:
+def libsvm_rows(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     from rankloom.sources.io import libsvm_lines
 
-    return libsvm_lines(_joined(spark, d), ["url_click_count", "url_shows_count"])
+    return libsvm_lines(_joined(spark, d, whole), ["url_click_count", "url_shows_count"])
 
 
 @query()
 def rank_model(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees trained on the first four fifths of queries, scoring the last."""
     columns = ["qd_qdoc_ctr", "url_click_count", "url_shows_count", "query_mean_click"]
-    marked = L.split_by_query(_joined(spark, d))
+    marked = L.split_by_query(_joined(spark, d, whole=True))
     score, _ = L.train_ranker(marked.where("not validation"), columns, rounds=10, depth=3)
     return score(marked.where("validation")).select(*L.KEYS, "mark", F.round("score", 6).alias("score"))

@@ -64,9 +64,9 @@ select query_id, doc_id, round(coalesce(s, 0), 6) as tf_idf_{n} from jp join dc
 
 
 def _tfidf(n: int):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        queries = A.text_queries(spark, d).select("query_id", F.array_join("tokens", " ").alias("text"))
-        return rounded(T.tfidf_pair_score(A.documents(spark, d), queries, A.judged_pairs(spark, d), n))
+    def run(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+        docs, queries = A.documents(spark, d), A.text_queries(spark, d, whole).select("query_id", F.array_join("tokens", " ").alias("text"))
+        return rounded(T.tfidf_pair_score(docs, queries, T.gram_pairs(docs, queries, n) if whole else A.judged_pairs(spark, d), n))
 
     return run
 
@@ -75,8 +75,9 @@ for _n in T.SIZES:
     query(_tfidf_sql(_n), f"tfidf_pair_score_{_n}")(_tfidf(_n))
 
 
-def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return T.tokenized(A.documents(spark, d)), A.text_queries(spark, d), A.judged_pairs(spark, d).select("query_id", "doc_id").distinct()
+def _bm25(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, queries = T.tokenized(A.documents(spark, d)), A.text_queries(spark, d, whole)
+    return docs, queries, T.term_pairs(docs, queries) if whole else A.judged_pairs(spark, d).select("query_id", "doc_id").distinct()
 
 
 def _pairs_of(c: str) -> str:
@@ -128,30 +129,30 @@ BM25 = BM25.replace("{n}('body')", _times("body")).replace("{n}('title')", _time
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score from un where k = 'b'")
-def bm25_unigram(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d)
+def bm25_unigram(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d, whole)
     terms = T.query_terms(queries)
     counts = T.term_counts(docs, terms)
     return rounded(T.unigram_score(pairs, queries, counts, T.log_icf(counts, terms), T.document_lengths(counts)))
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score from bi where k = 'b'")
-def bm25_bigram(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d)
+def bm25_bigram(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d, whole)
     terms = T.query_terms(queries)
     return rounded(T.bigram_score(pairs, queries, T.bigram_counts(docs, T.query_bigrams(queries)), T.log_icf(T.term_counts(docs, terms), terms)))
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score from ph")
-def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d)
+def bm25_phrase(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d, whole)
     terms = T.query_terms(queries)
     return rounded(T.phrase_score(pairs, queries, docs, T.log_icf(T.term_counts(docs, terms), terms)))
 
 
 @query(f"with {BM25}, ms as (select query_id, doc_id, count(*) filter (coalesce(tf, 0) <= 5) as m from jp join qt using (query_id) left join tc using (doc_id, term) where k = 'b' group by all) select query_id, doc_id, round(rare * pow(.03, m), 6) as score from ms join ra using (query_id)")
-def bm25_all_words(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d)
+def bm25_all_words(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d, whole)
     terms = T.query_terms(queries)
     counts = T.term_counts(docs, terms)
     return rounded(T.all_words_score(pairs, queries, counts, T.log_icf(counts, terms)))
@@ -169,23 +170,23 @@ tl as (
 
 
 @query(f"with {BM25}, {_TOTAL} select query_id, doc_id, round(score, 6) as score from tl")
-def bm25_total(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.total_score(*_bm25(spark, d)))
+def bm25_total(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(T.total_score(*_bm25(spark, d, whole)))
 
 
 @query(f"with {BM25}, {_TOTAL} select query_id, doc_id, round(score, 6) as score from tl where round(score, 9) <> 0")
-def bm25_predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d)
+def bm25_predictions(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d, whole)
     return rounded(T.predicted(pairs, T.total_score(docs, queries, pairs), docs))
 
 
 @query(f"with {BM25}, {_TOTAL}, rk as (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from tl) select query_id, rank::int as rank, doc_id, score from rk where rank <= 10")
-def topn_docs_per_query(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.top_documents(T.total_score(*_bm25(spark, d)).withColumn("score", F.round("score", 9))))
+def topn_docs_per_query(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rounded(T.top_documents(T.total_score(*_bm25(spark, d, whole)).withColumn("score", F.round("score", 9))))
 
 
 @query(f"with {BM25}, p as (select doc_id, unnest(body) as term, unnest(range(len(body))) as pos from tk) select doc_id, term, count(*) as n, min(pos)::int as first, max(pos)::int as last from p where term in (select term from vc) group by all")
-def forward_index(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, _ = _bm25(spark, d)
+def forward_index(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    docs, queries, _ = _bm25(spark, d, whole)
     f = T.forward_index(docs, T.query_terms(queries))
     return f.select("doc_id", "term", F.size("positions").cast("bigint").alias("n"), F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"))

@@ -1,0 +1,59 @@
+"""The relevance queries over whole dictionaries, all pairs of the log, all documents that share a term, and whole benchmark texts.
+
+The queries of the same name without `_whole` are held to their SQL, which takes known entries, a seventh of the query-URL
+pairs, one query a labelled document and a query's first words only.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from rankloom.operators.textscore import SIZES
+from rankloom.plans import clicks, ranking, texts
+
+CLICKS = ("qdoc_ctr", "sdbn_counters", "features_query", "url_counts", "features_url", "features_qd")
+PAIRS = ("pair_feature_join", "interactions_deg2", "query_group_split", "ndcg_at_5", "group_sizes", "libsvm_rows", "submission_fallback", "unscored_share", "unscored_urls")
+TEXTS = (*[f"tfidf_pair_score_{n}" for n in SIZES], "bm25_unigram", "bm25_bigram", "bm25_phrase", "bm25_all_words", "bm25_total", "bm25_predictions", "topn_docs_per_query", "forward_index")
+SCORED = ("submission_fallback", "unscored_share", "unscored_urls")
+
+_LOGGED = "cp as (select query_id, p_partkey as url_id, p_size % 3 as mark from (select distinct query, url from ent) join qall using (query) join part on url = 'p' || p_partkey || '.com')"
+
+
+def _put(sql: str, *changes: tuple[str, str]) -> str:
+    for old, new in changes:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+_DICTIONARIES = (("select * from qall where query_id % 5 <> 0", "select * from qall"), (" from part where p_size <= 40", " from part"))
+_LOG = (("cp as (select query_id, p_partkey as url_id, p_size % 3 as mark from part join qall on p_partkey % 7 = query_id % 7)", _LOGGED),)
+_WORDS = (("w[1:4] as tokens, w[5:6] as synonyms, array_to_string(w[1:4], ' ') as text", "w as tokens, []::varchar[] as synonyms, array_to_string(w, ' ') as text"),)
+_JUDGED = "jp as (select distinct doc_id % (select count(*) from benchmark) as query_id, doc_id from labels)"
+
+
+def _term_sql(sql: str) -> str:
+    """Pairs that share a token; jp comes before the tokens of documents, so it takes its own."""
+    own = f"jp as (select distinct query_id, doc_id from (select query_id, unnest(w) as term from q0) join (select doc_id, unnest({texts._TOKENS.format('body')}) as term from dc union select doc_id, unnest({texts._TOKENS.format('title')}) from dc) using (term))"
+    return _put(sql, (_JUDGED, own), *_WORDS)
+
+
+def _gram_sql(sql: str, n: int) -> str:
+    g = texts._GRAMS.format("replace(lower({}), ' ', '')", n)
+    own = f"jp as (select distinct query_id, doc_id from (select query_id, unnest({g.replace('{}', 'text')}) as term from qs) join (select doc_id, unnest({g.replace('{}', 'title')}) as term from dc union select doc_id, unnest({g.replace('{}', 'body')}) from dc) using (term))"
+    return _put(sql, (_JUDGED, own), *_WORDS)
+
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _part, _names in ((clicks, CLICKS), (ranking, PAIRS), (texts, TEXTS)):
+    for _name in _names:
+        QUERIES[f"{_name}_whole"] = partial(_part.QUERIES[_name], whole=True)
+        _sql = _part.ORACLES[_name]
+        if _part is clicks:
+            _sql = _put(_sql, *_DICTIONARIES)
+        elif _part is ranking:
+            _sql = _put(_sql, *_LOG, *(() if _name in SCORED else _DICTIONARIES))
+        else:
+            _sql = _gram_sql(_sql, int(_name[-1])) if _name.startswith("tfidf") else _term_sql(_sql)
+        ORACLES[f"{_name}_whole"] = _sql

@@ -34,9 +34,10 @@ def query_dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> D
     return q if whole else q.where("query_id % 5 <> 0")
 
 
-def url_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url_id, url): parts of size 40 at most."""
-    return load(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".com")).alias("url"))
+def url_dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(url_id, url): all parts if whole, else those of size 40 at most."""
+    parts = load(spark, sf_dir, "part")
+    return (parts if whole else parts.where("p_size <= 40")).select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".com")).alias("url"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +45,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^\n.]*", 0).alias("title"), F.col("text").alias("body"))
 
 
-def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, tokens, synonyms): of each benchmark item's words the first four, and the next two."""
+def text_queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(query_id, tokens, synonyms): of each benchmark item's words the first four, and the next two; all and none if whole."""
     w = X.tokenize(F.col("text"))
+    if whole:
+        return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("tokens"), F.array().cast("array<string>").alias("synonyms"))
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(w, 1, 4).alias("tokens"), F.slice(w, 5, 2).alias("synonyms"))
 
 
@@ -62,6 +65,14 @@ def click_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(dictionary, F.pmod(F.col("p_partkey"), F.lit(7)) == F.pmod(F.col("query_id"), F.lit(7))).select("query_id", F.col("p_partkey").alias("url_id"), F.pmod("p_size", F.lit(3)).alias("mark"))
 
 
+def log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, url_id, mark) of every query-URL pair that the log shows or has clicked, once; marks as in click_pairs."""
+    queries, urls = query_dictionary(spark, sf_dir, whole=True), url_dictionary(spark, sf_dir, whole=True)
+    marks = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("url_id"), F.pmod("p_size", F.lit(3)).alias("mark"))
+    found = sessions(spark, sf_dir).select("query", F.explode(F.concat("shown", "clicked")).alias("url")).distinct()
+    return found.join(F.broadcast(queries), "query").join(urls, "url").join(marks, "url_id").select("query_id", "url_id", "mark")
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (src, dst): suppliers link to parts of returned lines, parts to suppliers of accepted ones."""
     lines = load(spark, sf_dir, "lineitem").where("l_returnflag in ('R', 'A')")

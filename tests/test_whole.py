@@ -1,0 +1,27 @@
+"""Queries over whole tables: no pair of the log, query, URL or document that shares a term is left out."""
+
+import os
+
+import pytest
+
+from rankloom import plans
+from rankloom.plans import texts
+from rankloom.sources import adapters as A
+from tests.test_entry import SF
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+def test_every_pair_of_the_log_is_joined(spark):
+    ids = {r["query"]: r.query_id for r in A.query_dictionary(spark, SF, whole=True).collect()}
+    want = {(ids[r["query"]], int(u[1:-4])) for r in A.sessions(spark, SF).collect() for u in [*r.shown, *r.clicked]}
+    got = [(r.query_id, r.url_id) for r in plans.QUERIES["pair_feature_join_whole"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_document_that_shares_a_term_is_paired(spark):
+    docs, queries, pairs = texts._bm25(spark, SF, whole=True)
+    held = {r.doc_id: {*r.title, *r.body} for r in docs.collect()}
+    want = {(q.query_id, d) for q in queries.collect() for d, w in held.items() if w & {*q.tokens}}
+    got = [tuple(r) for r in pairs.select("query_id", "doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
