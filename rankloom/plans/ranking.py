@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import clicklog as C
 from rankloom.operators import ltr as L
+from rankloom.operators.lineage import cut_lineage
 from rankloom.plans.common import BASE, CTR, rounded
 from rankloom.sources import adapters as A
 
@@ -146,6 +147,6 @@ def libsvm_rows(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
 def rank_model(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees trained on the first four fifths of queries, scoring the last."""
     columns = ["qd_qdoc_ctr", "url_click_count", "url_shows_count", "query_mean_click"]
-    marked = L.split_by_query(_joined(spark, d, whole=True))
-    score, _ = L.train_ranker(marked.where("not validation"), columns, rounds=10, depth=3)
+    marked = cut_lineage(L.split_by_query(_joined(spark, d, whole=True)))  # read again, not joined again, by bins, cells and scores
+    score, _ = L.train_ranker(marked.where("not validation"), columns, kind="binned", rounds=1500, depth=6, rate=0.01)
     return score(marked.where("validation")).select(*L.KEYS, "mark", F.round("score", 6).alias("score"))
