@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from rankloom.llm import bpe, chat, langid, mtree, packing, pii, quality, simhash, tokens, urls
 from rankloom.llm.common import table
 
+#: Rules of op7_url_filter: (entry, action). An entry is a host, perhaps with a path; it covers the host's subdomains and the path's descendants.
+URL_RULES = [
+    ("spam-farm.example.org", "block"), ("cheap-pills.example.com", "block"), ("cheap-pills.example.com/en", "allow"),
+    ("example.net", "allow"), ("blog.example.net", "block"), ("tiontion.example.net", "block"), ("tiontion.example.net/en", "allow"),
+    ("blog.tionsh.example.com", "block"), ("blog.tionsh.example.com/de", "allow"), ("example.org/fr", "block"), ("www.ththon.example.org/fr", "allow"),
+]
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -36,7 +43,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +62,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_token_counts, op3_simhash_dedup, op4_byte_bpe, op5_pii_spans, op6_packing, op7_url_filter, op8_quality, op9_topk_search, op10_chat_format)
 }
-ORACLES: dict[str, str] = {"op6_packing": packing.SQL, "op7_url_filter": urls.SQL, "op9_topk_search": mtree.SQL, "op10_chat_format": chat.SQL}
+ORACLES: dict[str, str] = {"op6_packing": packing.SQL, "op7_url_filter": urls.sql(URL_RULES), "op9_topk_search": mtree.SQL, "op10_chat_format": chat.SQL}

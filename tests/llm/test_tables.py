@@ -12,6 +12,7 @@ RULES = [("bad.org", "block"), ("ok.bad.org", "allow"), ("good.com", "allow"), (
 URLS = [
     "http://bad.org", "https://a.bad.org/q", "http://ok.bad.org/", "http://x.ok.bad.org/p?z=1", "http://good.com/x", "http://good.com/x/yy", "http://good.com//x//y/z#f", "http://tie.net/a",
     "HTTP://USER:pw@Good.COM:8080/x/?q", "http://sub.good.com/x/y", "http://notbad.org", "//bad.org/a", "http://bad.org./", "", None, "no url", "http://", "http:///path", "http://good.comx/x",
+    "http://foo..good.com/x", "http://a..b", "http://.b", "http://..", "http://.good.com./x/y", "http://..good.com..", "http://0.1", "http://good.com/0/1", "//1.good.com/1",
 ]
 
 
@@ -38,14 +39,28 @@ def test_urls_by_trie_and_by_join(spark):
     for given, limit in ((RULES, 100), (RULES, 3), (rules, 100), (rules, 3)):
         got = urls.filter_urls(df, given, limit=limit).collect()
         assert {r.page_id: (r.entry, r.decision) for r in got} == want and len(got) == len(want)
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate([*URLS, URLS[0]])))
+    assert {r[0]: (r[2], r[3]) for r in con.execute(urls.sql(RULES)).fetchall()} == want
+
+
+def test_urls_with_empty_labels_in_rules(spark):
+    rules = [("a..b", "block"), ("b", "allow"), (".", "block"), (None, "block"), ("c.", "block"), ("d", "maybe")]
+    us = ["http://a..b/x", "http://x.a..b", "http://a.b", "http://.b", "http://c", "http://d", "http://.."]
+    want = ["block", "block", "allow", "allow", "block", "allow", "block"]
+    for limit in (100, 1):
+        assert [r.decision for r in urls.filter_urls(pages(spark, us), rules, limit=limit).orderBy("page_id").collect()] == want
 
 
 def test_urls_odd(spark):
     df = pages(spark, URLS)
     assert {r.decision for r in urls.filter_urls(df, [], default="block").collect()} == {"block"}
     assert urls.filter_urls(pages(spark, []), RULES).count() == 0
+    assert {r.decision for r in urls.filter_urls(df).collect()} == {"allow", "block"}
     long = "http://good.com/" + "/".join(["x"] * 20_000)
-    assert urls.filter_urls(pages(spark, [long]), RULES).first().entry == "good.com/x"
+    for limit in (100, 3):
+        assert urls.filter_urls(pages(spark, [long, "http://" + "a." * 20_000 + "bad.org"]), RULES, limit=limit).orderBy("page_id").first().entry == "good.com/x"
 
 
 # top-k search
