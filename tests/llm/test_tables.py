@@ -137,6 +137,34 @@ def test_chat_against_sql(spark):
     assert got == sorted(map(str, con.execute(chat.SQL).fetchall()))
 
 
+@pytest.mark.parametrize("hot", [0, 1, 2, 4])
+def test_long_conversations_are_spread_with_the_same_rows(spark, hot):
+    r = np.random.default_rng(2)
+    rows = [*TURNS, (20, 5, "user", "x")]
+    for i in range(30, 50):  # walks of the machine, some of them broken
+        role, at = "user", 0
+        for _ in range(int(r.integers(1, 12))):
+            rows.append((i, at, role if r.random() > 0.05 else "tool", f"{i} {at}"))
+            at += int(r.random() > 0.03)
+            role = "assistant" if role in ("user", "tool") else ["user", "tool"][int(r.integers(0, 2))]
+    df = turns(spark, rows)
+    plain = sorted(map(str, chat.segments(df).collect()))
+    assert sorted(map(str, chat.segments(df, hot=hot).collect())) == plain and len(plain) > 100
+    assert chat.segments(df.limit(0), hot=hot).count() == 0
+
+
+def test_chat_of_very_many_turns(spark):
+    import time
+
+    df = spark.range(100_000).selectExpr("if(id % 2 = 0, 7, null) as conv_id", "id as turn", "if((id div 2) % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    df = df.unionByName(df)  # every row twice
+    began = time.perf_counter()
+    for hot in (chat.HOT * 2, 20_000):
+        got = chat.segments(df, hot=hot).groupBy("conv_id").agg({"seg": "max", "*": "count"}).collect()
+        assert {(r[0], r[1], r[2]) for r in got} == {(7, 150_001, 150_002), (None, 150_001, 150_002)}
+    assert time.perf_counter() - began < 60
+
+
 def test_chat_text_and_reasons(spark):
     df = turns(spark, TURNS)
     reasons = {r.conv_id: r.reason for r in chat.conversations(df).collect()}
