@@ -63,6 +63,49 @@ def test_language_sizes_are_those_of_whole_texts(corpus):
     assert langid.sizes(text, enc)[0] == (sum(len(dict(enc)["de"].compress(b)) for b in blocks), "de")
 
 
+def test_language_fit_is_bounded_whatever_the_ids(spark):
+    rows = [(None, f"null {i} {prose('en', 20, i)}", "en") for i in range(300)] + [(1, f"same id {i} {prose('de', 20, i)}", "de") for i in range(300)]
+    rows += [(2, "repeated row", "fr")] * 300 + [(3, "x" * 5000, "fr"), (4, None, "fr"), (5, "no label", None)]
+    got = langid.fit(docs(spark, rows), sample_rows=5)
+    assert [len(got[g].decode().split("\n")) for g in ("de", "en")] == [5, 5]
+    whole = {t.lower() for _, t, _ in rows if t}
+    assert all(x in whole for g in ("de", "en") for x in got[g].decode().split("\n"))
+    assert got["fr"].decode() in ("repeated row\n" + "x" * 5000, "x" * 5000 + "\nrepeated row")
+    assert langid.fit(docs(spark, rows), sample_chars=100)["fr"] == b"repeated row"
+    strings = docs(spark, rows).selectExpr("concat('id', doc_id) as doc_id", "text", "lang")
+    assert sorted(langid.fit(strings)) == ["de", "en", "fr"] and langid.identify(strings, langid.fit(strings)).count() == len(rows)
+
+
+def test_language_query_against_plain_compression(spark):
+    """Every row of the registered query over the smallest tables, by compressors made anew for each text and block."""
+    import os
+
+    import zstandard
+
+    from rankloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    dictionaries = langid.fit(table)
+    text = {r.doc_id: r.text for r in table.collect()}
+    plain = {g: zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for g, d in dictionaries.items()}
+    got = queries.op1_language_id(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    right = 0
+    for r in got:
+        data = text[r.doc_id].lower().encode()
+        size = {}
+        for g, d in plain.items():
+            size[g] = 0
+            for i in range(0, len(data), langid.BLOCK):
+                size[g] += len(zstandard.ZstdCompressor(compression_params=langid._parameters(), dict_data=d).compress(data[i : i + langid.BLOCK]))
+        (a, first), (b, _) = sorted((n, g) for g, n in size.items())[:2]
+        assert (r.nearest, r.size, r.accepted) == (first, a, (b - a) / a >= langid.MARGIN) and r.margin == pytest.approx((b - a) / a, abs=1e-6)
+        assert r.lang == (first if r.accepted else None)
+
+
 def test_language_odd(spark, corpus):
     dictionaries = langid.fit(corpus)
     odd = clashing(docs(spark, ODD))
@@ -219,25 +262,57 @@ def test_bpe_against_a_tokenizer(spark):
 def test_bpe_round_trip_and_odd(spark):
     from pyspark.sql import functions as F
 
-    d = clashing(docs(spark, ODD[:4] + ODD[5:]))
+    r = random.Random(4)
+    odd = [*ODD, (13, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "en"), (14, "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), None)]
+    d = clashing(docs(spark, odd))
     back = bpe.tokenize(d).select("doc_id", "n_tokens", "lossless", bpe.decode(F.col("tokens")).alias("back")).collect()
-    texts = {(i, t) for i, t, _ in ODD[:4] + ODD[5:]}
-    assert {(r.doc_id, r.back) for r in back} == texts and len(back) == len(ODD) - 1
+    assert {(r.doc_id, r.back) for r in back} == {(i, t) for i, t, _ in odd} and len(back) == len(odd)
     assert all(r.lossless is None and r.n_tokens is None for r in back if r.back is None)
+    assert all(r.lossless for r in back if r.back is not None)
     assert [r.n_tokens for r in back if r.back == ""] == [0]
     assert bpe.tokenize(docs(spark, [])).count() == 0
 
 
+def test_bpe_of_long_words_and_white_space_against_a_tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe.MODEL)
+    t.encode_special_tokens = True
+    r = random.Random(8)
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 500))) for alphabet in ("ab", "aa=", "th e", "-= ", "the", "a\n \tb", "é日a ", "abcdefghijklmnopqrstuvwxyz") for _ in range(25)]
+    texts += ["=" * 5000, " " + "=" * 5000, "-" * 129 + "x" * 777, " " * 3000 + "a", "日本語" * 900, " a   b\x1c c\x85 d\xa0 e\u3000f "]
+    for text, ids in zip(texts, bpe.codec().encode(texts)):
+        assert np.frombuffer(ids, np.int32).tolist() == t.encode(text, add_special_tokens=False).ids, text[:60]
+
+
 def test_bpe_in_small_parts(monkeypatch):
     c = bpe.codec()
     texts = [prose("en", 50, 1), "", "é" * 90, "x y " * 40, "ab" * 300]
     whole = c.encode(texts)
-    monkeypatch.setattr(bpe, "AT_ONCE", 3)
+    monkeypatch.setattr(bpe, "ROWS_AT_ONCE", 90)
     monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 7)
+    monkeypatch.setattr(bpe, "REMEMBERED", 1)
+    assert c.encode(texts[:2]) == whole[:2]
     c.known.clear()
     assert c.encode(texts) == whole
     tokens = np.frombuffer(b"".join(whole), np.int32)
-    assert c.decode(tokens, np.repeat(np.arange(5), [len(w) // 4 for w in whole]), 5) == [t.encode() for t in texts]
+    for query in (bpe._DECODE, bpe._DECODE_SLOW):
+        assert c.decode(tokens, np.repeat(np.arange(5), [len(w) // 4 for w in whole]), 5, query) == [t.encode() for t in texts]
+
+
+def test_bpe_refuses_merges_whose_order_would_matter(tmp_path):
+    import json
+
+    letters = {chr(b): k for k, b in enumerate([*range(33, 127), *range(161, 173), *range(174, 256)])}
+    letters |= {chr(256 + i): len(letters) + i for i in range(256 - len(letters))}
+    vocab = letters | {"ab": 300, "abc": 301, "bc": 302}
+    for merges, fine in ((["a b", "ab c"], True), (["ab c", "a b"], False), (["a b", "b c", "ab c", "a bc"], False)):
+        f = tmp_path / "model.json"
+        f.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+        if fine:
+            assert np.frombuffer(bpe.Codec(str(f)).encode(["abc"])[0], np.int32).tolist() == [301]
+        else:
+            with pytest.raises(ValueError):
+                bpe.Codec(str(f))
 
 
 # personal data
@@ -433,5 +508,45 @@ def test_quality(spark):
     kept = quality.keep_good(clashing(d), model)
     assert kept.count() == 60 and kept.columns == clashing(d).columns
     assert quality.judge(docs(spark, []), model).count() == 0
+    named = d.selectExpr("concat('id', doc_id) as doc_id", "text")
+    by_name = quality.fit(named, labels.selectExpr("concat('id', doc_id) as doc_id", "cast(quality as string) as quality"))
+    assert {r.doc_id: r.keep for r in quality.judge(named, by_name).collect()} == {f"id{i}": k for i, k in got.items()}
     constant = quality.fit(docs(spark, []), labels)
     assert all(r.score == 0.5 and r.keep for r in quality.judge(d, constant).collect())
+
+
+def test_quality_fit_is_bounded_whatever_the_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "boost", lambda x, y, signs: seen.append((len(x), sorted(set(y)))))
+    rows = [(1, f"same id {i}", "en") for i in range(50)] + [(2, "repeated row", "en")] * 50 + [(None, "no id", "en"), (3, None, "en"), (4, "both ways", "en")]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (3, 1, 0), (4, 0, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    quality.fit(docs(spark, rows), labels)
+    assert seen.pop() == (53, [0.0, 1.0])
+    quality.fit(docs(spark, rows), labels, sample_rows=10)
+    assert seen.pop()[0] == 10
+
+
+def test_quality_query_against_plain_trees(spark):
+    """The registered query's rows, from statistics by plain Python where test_statistics has them, and trees walked node by node."""
+    import os
+
+    from rankloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = {}
+    for r in table.collect():
+        row, total = quality.statistics(pa.array([r.text]))[0], model.base
+        for f, t, le, ri, v in zip(model.feature, model.threshold, model.left, model.right, model.value):
+            at = 0
+            while f[at] >= 0:
+                at = le[at] if row[f[at]] <= t[at] else ri[at]
+            total += v[at]
+        want[r.doc_id] = 1 / (1 + np.exp(-total))
+    got = queries.op8_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6) and (r.keep == (want[r.doc_id] >= quality.THRESHOLD))
