@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import unused
 
-#: Labelled rows a language gives to its dictionary, at most; of each, the first PIECE characters serve (fitting only).
+#: Labelled rows a language gives to its dictionary, at most, and their characters: whole texts, drawn by hash, as many as fit.
+#: These bound the fitting alone.
 SAMPLE_ROWS = 400
-PIECE = 2000
-DICT_BYTES = 110_000
+SAMPLE_CHARS = 400_000
 #: Texts are encoded in blocks of this many bytes, so that a long text's own repetitions don't outweigh the dictionary.
 BLOCK = 4096
 #: Least (second size - least size) / least size. Below it the text is rejected.
@@ -24,24 +24,28 @@ _CACHE: dict = {}
 def _parameters() -> zstandard.ZstdCompressionParameters:
     """Greedy parsing with matches of four bytes upwards: finds common short words, which the fast levels' five miss."""
     return zstandard.ZstdCompressionParameters(
-        window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False
+        window_log=20, chain_log=20, hash_log=18, search_log=4, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False
     )
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Dictionaries by language from at most `sample_rows` labelled rows of each, those of least hash of their id.
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
+    """Dictionaries by language from at most `sample_rows` labelled rows of each, those of least hash of id and text, whole, as
+    long as they have `sample_chars` characters together; a longer text is never drawn.
 
-    Rows without text or label don't count. No labelled row: no dictionary, and every text is then rejected.
+    Rows without text or label don't count; null ids count like others; rows repeated with id and text count once, under a
+    repeated id each different text counts. No labelled row: no dictionary, and every text is then rejected.
     """
-    labelled = docs.select(F.col(lang_col).alias("g"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t")).where("g is not null and t is not null and t <> ''")
-    first = F.row_number().over(Window.partitionBy("g").orderBy("h"))
-    chosen = labelled.select("g", "h").distinct().withColumn("k", first).where(F.col("k") <= sample_rows).select("g", "h")
+    labelled = docs.select(F.col(lang_col).cast("string").alias("g"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t")).where("g is not null and t is not null and t <> ''")
+    sized = labelled.select("g", "h", F.char_length("t").cast("bigint").alias("n")).where(F.col("n") <= sample_chars).groupBy("g", "h").agg(F.max("n").alias("n"))
+    order = Window.partitionBy("g").orderBy("h")
+    first = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows)
+    chosen = first.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= sample_chars).select("g", "h")
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "g string, h bigint")  # sample_rows a language, at most
-    found = labelled.join(F.broadcast(chosen), ["g", "h"]).select("g", "h", F.substring("t", 1, PIECE).alias("t"))
+    found = labelled.join(F.broadcast(chosen), ["g", "h"]).groupBy("g", "h").agg(F.min("t").alias("t"))
     pieces: dict[str, list[str]] = {}
     for g, _, t in sorted(found.collect()):
         pieces.setdefault(g, []).append(t)
-    return {g: "\n".join(dict.fromkeys(x.lower() for x in ts)).encode()[-DICT_BYTES:] for g, ts in sorted(pieces.items())}
+    return {g: "\n".join(dict.fromkeys(x.lower() for x in ts)).encode("utf-8", "replace") for g, ts in sorted(pieces.items())}
 
 
 def encoders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:

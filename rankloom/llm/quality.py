@@ -14,14 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import mix, segment_sum, slices, unused, utf8, words
+from rankloom.llm.common import cut, mix, segment_sum, slices, unused, utf8, words
 
 #: Statistic -> sign of its monotonic constraint on the score (0: none).
 FEATURES = {
     "log_words": 0, "mean_word": 0, "symbol_share": -1, "digit_share": 0, "upper_share": -1, "space_share": 0, "pipe_share": -1,
     "bang_share": -1, "repeat_next_share": -1, "distinct_share": 0, "repeat_line_share": -1, "mean_line": 0, "punct_share": 0, "lines_per_word": 0,
 }
-#: Labelled rows that fitting uses, at most: those of least hash of their id.
+#: Labels, and labelled texts, that fitting uses, at most: those of least hash.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
 
@@ -174,20 +174,22 @@ def _features(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from at most `sample_rows` labelled rows (labels: doc_id, quality 0/1).
+    """Trees from at most `sample_rows` labelled texts (labels: doc_id of any type, quality 0/1), those of least hash.
 
-    Labels that are null or not 0/1 don't count; a document labelled twice counts for each label; ids without a document
-    are passed over. No usable row: a constant model of probability 1/2, which keeps everything.
+    Labels that are null or not 0/1 don't count; ids without a document are passed over. A document labelled both ways counts
+    for each; an id that several texts share gives each of them its label; rows repeated in either table count once. No
+    usable row: a constant model of probability 1/2, which keeps everything.
     """
-    spark = docs.sparkSession
-    marks = labels.select(F.col("doc_id").alias("i"), F.col("quality").alias("q")).where("i is not null and q in (0, 1)")
-    chosen = marks.orderBy(F.xxhash64("i"), "i", "q").limit(sample_rows)  # the bound on fitting
-    chosen = spark.createDataFrame(chosen.collect(), "i bigint, q int")
-    found = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null").join(F.broadcast(chosen), "i")
-    rows = found.select("i", "q", _features(F.col("t")).alias("x")).collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
+    marks = labels.select(F.col("doc_id").alias("i"), F.col("quality").cast("int").alias("q")).where("i is not null and q in (0, 1)").distinct()
+    chosen = F.broadcast(marks.orderBy(F.xxhash64("i"), "i", "q").limit(sample_rows))  # the bound on labels
+    texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
+    pairs = texts.join(chosen, "i").select("i", "q", "h").distinct()
+    drawn = F.broadcast(cut(pairs.orderBy(F.xxhash64("i", "h"), "i", "h", "q").limit(sample_rows)))  # the bound on texts: an id may have any number
+    found = texts.join(drawn, ["i", "h"]).select("i", "q", "h", _features(F.col("t")).alias("x"))
+    rows = found.groupBy("i", "q", "h").agg(F.min("x").alias("x")).select("q", "h", "x").collect()
+    rows.sort(key=lambda r: (r[1], r[0]))
     x = np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES))
-    return boost(x, np.array([r[1] for r in rows], dtype=float), list(FEATURES.values()))
+    return boost(x, np.array([r[0] for r in rows], dtype=float), list(FEATURES.values()))
 
 
 def score(text: Column, model: Trees) -> Column:
