@@ -221,6 +221,31 @@ def test_pipeline_stage_by_stage(spark, corpus_dir):
     assert [n for n, _ in P.STAGES] == ["language ID", "quality rules", "SimHash near-dedup", "PII", "packing"] and packing and pii and quality and simhash
 
 
+def test_pipeline_odd(spark, tmp_path):
+    """Empty tables; repeated rows, nulls and a clashing column through every stage; nothing left in the shared folder."""
+    import os
+
+    import corpus_pipeline as P
+    from tests.llm.test_documents import ODD, SCHEMA, clashing, docs, prose
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").collect() == []
+    rows = [(1000 + i, f"{prose(g, 80, i)} " + " ".join(f"w{i}x{k}" for k in range(40)), g) for i, g in enumerate(["en", "de"] * 10)]
+    rows += [rows[3], rows[3], (None, rows[4][1], "en"), *ODD]
+    d = clashing(docs(spark, rows))
+    d.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(1000, 1, 0), (None, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    for _, stage in P.STAGES[:-1]:
+        after = stage(spark, d, f"{tmp_path}/odd")
+        assert after.columns == d.columns
+        d = after
+    got = sorted(r.doc_id for r in P.run(spark, f"{tmp_path}/odd").collect() if r.doc_id is None or r.doc_id >= 1000)
+    assert got == list(range(1000, 1020)) and sorted(r.doc_id for r in d.select("doc_id").collect() if r.doc_id >= 1000) == got
+    shared = P.ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(shared) if x.startswith("pipeline-")]
+
+
 def test_all_ten_are_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
