@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import cut
+
 KINDS = ("email", "phone", "ip", "card", "national_id", "iban", "secret")
 LABELERS = ("regex", "check", "gazetteer", "context")
 THRESHOLD = 0.5
@@ -292,42 +294,44 @@ def count_codes(found: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in found.groupBy("code").count().collect()}
 
 
+def held(counts: dict[int, int], threshold: float) -> dict[int, float]:
+    """Probability of each code that is held to be personal, by the classifier that the counts give."""
+    codes = np.array(sorted(counts), dtype=np.int64)
+    p = probability(codes, train(counts)) if len(codes) else np.zeros(0)
+    return {int(c): float(q) for c, q in zip(codes, p) if q >= threshold}
+
+
 def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each span held to be personal data: doc_id, kind, start, len, probability (6 places).
 
     Null, empty and clean texts give no row; repeated rows give their spans once each; an empty table gives an empty
     result; further columns don't matter. Overlapping candidates: the first, then the longest.
     """
-    from rankloom.llm.common import cut
-
     found = cut(spans(docs))
-    counts = count_codes(found)
-    beta = train(counts)
-    codes = np.array(sorted(counts), dtype=np.int64)
-    p = probability(codes, beta) if len(codes) else np.zeros(0)
-    known = docs.sparkSession.createDataFrame([(int(c), float(round(q, 6))) for c, q in zip(codes, p) if q >= threshold], "code int, probability double")
+    known = docs.sparkSession.createDataFrame([(c, round(q, 6)) for c, q in held(count_codes(found), threshold).items()], "code int, probability double")
     return found.join(F.broadcast(known), "code").select("doc_id", "kind", "start", "len", "probability")
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns, each personal span in `text` replaced by its kind in angle brackets, n_chars set anew if there is such a column.
 
-    Null texts stay null; texts without such spans stay as they are.
+    Null texts stay null; texts without such spans stay as they are. An empty table gives an empty one; repeated rows are
+    treated alike; columns of whatever name stay as they are.
     """
-    beta = train(count_codes(spans(docs)))
+    codes = frozenset(held(count_codes(spans(docs)), threshold))  # 7 * 81 * 16, at most
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_redacted(t.as_py(), beta, threshold) for t in texts], pa.string())
+        return pa.array([_redacted(t.as_py(), codes) for t in texts], pa.string())
 
     out = docs.withColumn("text", run.asNondeterministic()(F.col("text")))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _redacted(text: str | None, beta: np.ndarray, threshold: float) -> str | None:
+def _redacted(text: str | None, codes: frozenset[int]) -> str | None:
     out, done = [], 0
     for kind, s, e in candidates(text):
-        if probability(np.array([features(text, kind, s, e)]), beta)[0] >= threshold:
+        if features(text, kind, s, e) in codes:
             out += [text[done:s], f"<{kind.upper()}>"]
             done = e
     return "".join([*out, text[done:]]) if out else text
