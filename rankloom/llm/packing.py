@@ -7,14 +7,15 @@ at most `token_budget` padded tokens form inside each bucket.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankloom.llm.common import cut
 
 BUCKETS = 16
 TOKEN_BUDGET = 16384
+#: Rows that a task sorts, about.
+ROWS_A_TASK = 2_000_000
 
 
 def token_length(text: Column) -> Column:
@@ -73,12 +74,13 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket
     of (n_tokens, id, nulls first) and fill batches of max(1, token_budget div bucket_len) rows, so a batch never passes
     the budget unless one single row does. batch_id is 'bucket-index'; slot counts from 0.
 
-    The histogram holds one entry for each distinct length, whatever the number of rows. A row's place in its bucket is
-    the number of shorter rows there, known from the histogram, plus its rank among rows of its own length: so the sort is
-    spread over the lengths and no task sees a whole bucket.
+    The histogram holds one entry for each distinct length, whatever the number of rows. Rows are sorted by (length, id) over
+    all tasks; a row's place in its bucket is its place in that order less the number of rows in shorter buckets, known from
+    the histogram. Equal rows are spread too, so no task sees more than its share, however many have one length.
 
     Null and blank texts have length 0 and are packed like others; repeated rows and ties keep one place each; an empty
-    table gives an empty result; other columns, whatever their names, are ignored.
+    table gives an empty result; other columns, whatever their names, are ignored. Lengths are words unless `length` counts
+    otherwise: a text without spaces is one word long.
     """
     spark = docs.sparkSession
     tokens = token_length(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
@@ -86,23 +88,33 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket
     hist = rows.groupBy("n_tokens").count().orderBy("n_tokens").collect()  # as many rows as there are distinct lengths
     lengths, counts = np.array([r[0] for r in hist], dtype=np.int64), np.array([r[1] for r in hist], dtype=np.int64)
     bounds = np.array(optimal_boundaries(lengths, counts, buckets), dtype=np.int64)
-    of = np.searchsorted(bounds, lengths)
-    before = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
-    start = {int(b): int(before[of == b][0]) for b in np.unique(of)}
-    known = spark.createDataFrame(
-        [(int(x), int(b), int(bounds[b]), int(p) - start[int(b)], max(1, token_budget // max(1, int(bounds[b])))) for x, b, p in zip(lengths, of, before)],
-        T.StructType([T.StructField(k, T.LongType()) for k in ("n_tokens", "bucket", "bucket_len", "shorter", "capacity")]),
-    )
-    place = F.col("shorter") + F.row_number().over(Window.partitionBy("n_tokens").orderBy(F.col("doc_id").asc_nulls_first())) - 1
-    return (
-        rows.join(known, "n_tokens")
-        .withColumn("place", place)
-        .select(
-            "doc_id", "n_tokens", "bucket", "bucket_len",
-            F.concat_ws("-", F.col("bucket"), F.expr("place div capacity")).alias("batch_id"),
-            (F.col("place") % F.col("capacity")).alias("slot"),
-            (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
-        )
+    shorter = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(lengths, np.concatenate(([-1], bounds[:-1])), side="right")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // ROWS_A_TASK + 1)
+    key = [F.col("n_tokens"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    tied = rows.withColumn("tie", F.monotonically_increasing_id())
+    ranged = cut(tied.repartitionByRange(parts, *key).sortWithinPartitions(*key).select("doc_id", "n_tokens"))
+    at = ranged.withColumn("at", F.monotonically_increasing_id())  # task and place in it
+    sizes = at.groupBy(F.shiftright("at", 33).alias("task")).count().orderBy("task").collect()  # one row a task
+    starts = np.concatenate(([0], np.cumsum([r[1] for r in sizes])))[:-1] if sizes else np.zeros(0, np.int64)
+    start = spark.createDataFrame([(int(r[0]), int(x)) for r, x in zip(sizes, starts)], "task bigint, start bigint")
+    at = at.withColumn("task", F.shiftright("at", 33)).join(F.broadcast(start), "task").withColumn("order", F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1))
+
+    def of_bucket(values: list[int]) -> Column:
+        """The value of the row's bucket, its length's."""
+        out = F.lit(values[-1] if values else 0).cast("long")
+        for bound, value in list(zip(bounds.tolist(), values))[-2::-1]:
+            out = F.when(F.col("n_tokens") <= bound, F.lit(value).cast("long")).otherwise(out)
+        return out
+
+    known = at.withColumns({
+        "bucket": of_bucket(list(range(len(bounds)))), "bucket_len": of_bucket(bounds.tolist()), "place": F.col("order") - of_bucket(shorter.tolist()),
+        "capacity": of_bucket([max(1, token_budget // max(1, int(b))) for b in bounds]),
+    })
+    return known.select(
+        "doc_id", "n_tokens", "bucket", "bucket_len",
+        F.concat_ws("-", F.col("bucket"), F.expr("place div capacity")).alias("batch_id"),
+        (F.col("place") % F.col("capacity")).alias("slot"),
+        (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
     )
 
 

@@ -382,6 +382,41 @@ def test_detection_and_redaction(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_personal_data_query_against_brute_force(spark):
+    """The registered query over the smallest tables: every span of every text on its own, votes counted and the models fitted
+    over the unpacked spans one row each, without codes, cells or joins."""
+    import os
+
+    from rankloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    table = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    found = [(r.doc_id, kind, s, e, pii.features(r.text, kind, s, e)) for r in table for kind, s, e in pii.candidates(r.text)]
+    code = np.array([f[4] for f in found])
+    kind, v, _ = pii.unpack(code)
+    y = np.zeros(len(code))
+    for k in np.unique(kind):
+        y[kind == k] = pii.reliabilities(v[kind == k], np.ones((kind == k).sum()), failing=pii.FAILING)[2]
+    x = pii._design(code)
+    beta = np.zeros(x.shape[1])
+    for _ in range(200):  # Newton's steps, one row a span
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(beta)), x.T @ (y - p) - 0.01 * beta)
+    p = 1 / (1 + np.exp(-x @ beta))
+    want = {(d, k, s, e - s): q for (d, k, s, e, _), q in zip(found, p) if q >= pii.THRESHOLD}
+    got = {(r.doc_id, r.kind, r.start, r.len): r.probability for r in queries.op5_pii_spans(spark, sf).collect()}
+    assert set(got) == set(want) and len(got) > 10
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in got)
+    text = {r.doc_id: r.text for r in pii.redact(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for r in table:
+        t = r.text
+        for _, kind, s, n in sorted((k for k in want if k[0] == r.doc_id), key=lambda k: -k[2]):
+            t = t[:s] + f"<{kind.upper()}>" + t[s + n :]
+        assert text[r.doc_id] == t
+
+
 def test_personal_data_odd(spark):
     d = docs(spark, ODD)
     assert pii.detect(d).count() == 0
@@ -448,6 +483,19 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_spreads_rows_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_A_TASK", 100)
+    rows = [(i, "one two three", "en") for i in range(900)] + [(None, "one two three", "en")] * 600 + [(5, "a", "en"), (6, None, "en")]
+    got = packing.pack(docs(spark, rows), buckets=2, token_budget=30)
+    from pyspark.sql import functions as F
+
+    parts = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(parts) >= 10 and max(parts) < 600
+    long = [r for r in got.collect() if r.n_tokens == 3]
+    assert sorted((int(r.batch_id.split("-")[1]), r.slot) for r in long) == sorted((k // 10, k % 10) for k in range(1500))
+    assert [r.doc_id for r in sorted(long, key=lambda r: (int(r.batch_id.split("-")[1]), r.slot))] == [None] * 600 + list(range(900))
+
+
 # quality
 
 
