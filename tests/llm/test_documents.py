@@ -182,7 +182,8 @@ def test_near_pairs_against_brute_force():
     near = simhash.hamming(fps[:, None], fps[None]) <= simhash.RADIUS
     bits, tables = simhash.plan(len(fps))
     keys = simhash.keys(fps, simhash.sampled(bits, tables))
-    a, b = simhash.near_pairs(keys.T.ravel(), np.tile(fps, (tables, 1)), np.tile(np.arange(len(fps)), tables))
+    table = simhash.pivot_table(fps, simhash.pivots(fps))
+    a, b = simhash.near_pairs(keys.T.ravel(), np.tile(fps, (tables, 1)), np.tile(np.arange(len(fps)), tables), np.tile(table, (tables, 1)))
     root = list(range(len(fps)))
 
     def find(x):
@@ -205,10 +206,18 @@ def test_pivots_discard_no_true_pair_and_large_sets_are_searched_exactly():
         for bit in r.integers(0, 128, 14):
             row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     i, j = np.triu_indices(200, 1)
-    kept = simhash.survivors(simhash.pivot_table(fps), i, j, simhash.RADIUS)
+    other = r.integers(0, 2**63, (300, 2), dtype=np.uint64)
+    reference = simhash.pivots(np.concatenate((fps, other)))
+    table = simhash.pivot_table(fps, reference)
+    kept = simhash.survivors(table, i, j, simhash.RADIUS)
     assert kept[simhash.hamming(fps[i], fps[j]) <= simhash.RADIUS].all()
     assert 200 > simhash.LISTED
-    a, b = simhash.near_pairs(np.zeros(200, np.int64), fps, np.arange(200))
+    # pairs of the group with unrelated ones are what the pivots discard
+    both = np.concatenate((fps, other))
+    x, y = np.repeat(np.arange(200), 300), np.tile(np.arange(200, 500), 200)
+    assert simhash.survivors(simhash.pivot_table(both, reference), x, y, simhash.RADIUS).mean() < 0.2
+    assert simhash.pivots(fps[:0]).shape == (0, 2) and simhash.pivot_table(fps, simhash.pivots(fps[:1])).shape == (200, 1)
+    a, b = simhash.near_pairs(np.zeros(200, np.int64), fps, np.arange(200), table)
     near = simhash.hamming(fps[:, None], fps[None]) <= simhash.RADIUS
     label = np.arange(200)
     for _ in range(200):
@@ -240,6 +249,71 @@ def test_duplicates_odd(spark):
     assert simhash.duplicates(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def brute_groups(fps):
+    """The least index of each fingerprint's group, by all pairs; and the near pairs."""
+    near = np.concatenate([simhash.hamming(fps[k : k + 200, None], fps[None]) for k in range(0, len(fps), 200)]) <= simhash.RADIUS
+    label = np.arange(len(fps))
+    while True:
+        new = np.where(near, label[None], len(fps)).min(1)
+        if (new == label).all():
+            return label, np.argwhere(np.triu(near, 1))
+        label = new
+
+
+def test_duplicates_query_against_brute_force(spark):
+    """The registered query over the smallest tables, against all pairs of fingerprints."""
+    import os
+
+    from rankloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    fps, number = simhash.fingerprint(pa.array([t for _, t in rows]))
+    assert number.min() > 0
+    label, near = brute_groups(fps)
+    got = {r.doc_id: (r.duplicate_of, r.group_size) for r in queries.op3_simhash_dedup(spark, sf).collect()}
+    of = {i: got.get(i, (i, 1))[0] for i, _ in rows}
+    ids = [i for i, _ in rows]
+    assert all(label[ids.index(i)] == label[ids.index(d)] and d < i for i, (d, _) in got.items())
+    assert len(near) > 10 and np.mean([of[ids[i]] == of[ids[j]] for i, j in near]) >= 0.9
+    assert all(n == sum(of[j] == d for j in ids) for d, n in got.values())
+    exact = {}
+    for i, t in rows:
+        assert of[exact.setdefault(t, i)] == of[i]
+
+
+def test_crowded_keys_are_spread_and_lose_no_group(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    center, apart = r.integers(0, 2**63, (1, 2), dtype=np.uint64), r.integers(0, 2**63, (600, 2), dtype=np.uint64)
+    ball = np.repeat(center, 700, axis=0)
+    for row in ball:
+        for bit in r.integers(0, 128, 6):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    pairs = apart[:200].copy()
+    pairs[:, 0] ^= np.uint64(0b1011)
+    fps = np.unique(np.concatenate((ball, apart, pairs)), axis=0)
+    monkeypatch.setattr(simhash, "CROWD", 60)
+    bits, tables = simhash.plan(len(fps))
+    hot, parts, leaders = simhash.crowded(fps, len(fps), simhash.sampled(bits, tables), simhash.RADIUS)
+    assert len(hot) >= tables // 2 and parts.max() >= 5 and all(len(x) for x in leaders)
+    df = spark.createDataFrame([(int(n), int(h), int(lo)) for n, (h, lo) in zip(simhash.nodes(fps), fps.view(np.int64))], "node bigint, hi bigint, lo bigint")
+    root = {x.node: x.root for x in simhash.fingerprint_groups(df).collect()}
+    label, near = brute_groups(fps)
+    names = simhash.nodes(fps).tolist()
+    of = np.array([root.get(n, n) for n in names])
+    assert (of[near[:, 0]] == of[near[:, 1]]).mean() > 0.999
+    assert len(set(zip(of.tolist(), label.tolist()))) == len(set(label.tolist()))
+
+
+def test_texts_without_words_are_copies_only_of_equal_ones(spark):
+    rows = [(1, "*** --- ***", "en"), (2, "*** --- ***", "en"), (3, "*** -- ***", "en"), (4, "***", "en"), (5, "\n", "en"), (6, "\n", "en"), (7, "", "en"), (8, "", "en"), (9, None, "en"), (10, None, "en")]
+    d = docs(spark, rows)
+    assert sorted((r.doc_id, r.duplicate_of, r.group_size) for r in simhash.duplicates(d).collect()) == [(2, 1, 2), (6, 5, 2)]
+    assert sorted(r.doc_id for r in simhash.keep_one(d).collect()) == [1, 3, 4, 5, 7, 8, 9, 10]
+
+
 def test_components_follow_long_chains(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a bigint, b bigint")
     assert {(r.node, r.root) for r in simhash.components(e).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
