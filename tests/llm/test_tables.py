@@ -78,8 +78,9 @@ def brute_top(rows, k):
     return sorted(out)
 
 
-def search(spark, rows, **kw):
+def search(spark, rows, only=None, **kw):
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id bigint, embedding array<float>, label int, rank int, tree string")
+    kw |= {"queries": df.where(only)} if only else {}
     return sorted((r.vec_id, r.rank, r.neighbor, round(r.distance, 5)) for r in mtree.top_k(df, **kw).collect())
 
 
@@ -96,16 +97,38 @@ def test_top_k_against_brute_force(spark, shape):
     assert search(spark, rows, k=5, subtree=64, page=8) == brute_top(rows, 5)
 
 
+def test_top_k_of_some_queries_among_many_copies_and_ties(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.concatenate((np.repeat(r.integers(0, 3, (2, 3)), 150, axis=0), r.integers(0, 3, (300, 3)))).astype(float)  # few places, many ties
+    rows = [(int(i), [float(e) for e in v]) for i, v in zip(r.permutation(600), x)] + [(7, [9.0, 9.0, 9.0])]
+    want = [w for w in brute_top(rows, 4) if w[0] % 20 == 0]
+    monkeypatch.setattr(mtree, "QUERIES_A_TASK", 5)
+    assert search(spark, rows, "vec_id % 20 = 0", k=4, subtree=16, page=4) == want and len(want) == 30 * 4
+    assert search(spark, rows, "vec_id < 0", k=4) == []
+
+
+def test_heads_rule_out_only_what_lies_beyond():
+    r = np.random.default_rng(7)
+    c = r.normal(size=(200, 5)) * r.choice([0.1, 20], (200, 1))
+    h = mtree.Heads(np.arange(200), c, r.random(200), page=8)
+    x, worst = r.normal(size=(50, 5)) * 10, r.random(50) * 15
+    got, done = h.least(x, worst)
+    want = np.maximum(mtree.distances(x, h.x) - h.radius, 0)
+    assert (np.isinf(got) == (want > worst[:, None] + mtree.SLACK)).all() and np.allclose(got[np.isfinite(got)], want[np.isfinite(got)])
+    assert done < 0.9 * 50 * 200 and (np.sort(h.names) == np.arange(200)).all() and np.isfinite(h.least(x, np.full(50, np.inf))[0]).all()
+
+
 def test_search_passes_over_far_subtrees():
     r = np.random.default_rng(5)
     x = np.concatenate((r.normal(size=(256, 4)), r.normal(size=(256, 4)) + 100))
     trees = [mtree.build(np.arange(256), x[:256], 16), mtree.build(np.arange(256, 512), x[256:], 16)]
     best = mtree.Best(trees[0]["ids"], trees[0]["x"], 3)
     own = best.search(trees[0])
-    assert best.search(trees[1]) == 0 and own < 256 * 256
+    assert best.search(trees[1]) == 256 and own < 256 * 256  # distances to the other's routing object, and no more
     t = trees[0]
     for lo, hi, c, rad, par in zip(t["bounds"], t["bounds"][1:], t["routing"], t["cover"], t["parent"]):
         assert hi - lo <= 16
+        assert np.allclose(np.sqrt(((t["x"][lo:hi] - c) ** 2).sum(1)), t["entry"][lo:hi])
         assert np.isclose(np.sqrt(((t["x"][lo:hi] - c) ** 2).sum(1)).max(), rad) and np.isclose(np.sqrt(((c - t["center"]) ** 2).sum()), par)
 
 
