@@ -30,19 +30,19 @@ def prepare_url(c: Column) -> Column:
     return out
 
 
-def is_valid_url(c: Column) -> Column:
+def is_valid_url(c: Column, known: frozenset[str] = TOP_LEVEL) -> Column:
     """Whether the host's part after its last dot is a known top-level domain; a port makes it invalid. Null is invalid."""
     host = F.split_part(prepare_url(c), F.lit("/"), F.lit(1))
-    return F.coalesce(F.regexp_extract(host, r"\.([^.]*)$", 1).isin(*sorted(TOP_LEVEL)), F.lit(False))
+    return F.coalesce(F.regexp_extract(host, r"\.([^.]*)$", 1).isin(*sorted(known)), F.lit(False))
 
 
-def split_links(c: Column, delimiter: str = ",") -> Column:
+def split_links(c: Column, delimiter: str = ",", known: frozenset[str] = TOP_LEVEL) -> Column:
     """List of URLs of a delimited string. A piece that is no URL belongs to the URL before it, as URLs may hold the delimiter;
     such pieces before the first URL are dropped. Null gives an empty list."""
 
     def fold(acc: Column, piece: Column) -> Column:
         glued = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(delimiter), piece)))
-        return F.when(is_valid_url(piece), F.concat(acc, F.array(piece))).when(F.size(acc) == 0, acc).otherwise(glued)
+        return F.when(is_valid_url(piece, known), F.concat(acc, F.array(piece))).when(F.size(acc) == 0, acc).otherwise(glued)
 
     return F.aggregate(F.split(F.coalesce(c, F.lit("")), f"\\Q{delimiter}\\E"), F.array().cast("array<string>"), fold)
 
@@ -89,14 +89,10 @@ def text_similarity(a: Column, b: Column, unicode: bool = True) -> Column:
     return F.coalesce(overlap_similarity(words(a, unicode), words(b, unicode)), F.lit(0.0))
 
 
-def _starts(count: Column, make: Callable[[Column], Column]) -> Column:
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), make)).when(count.isNotNull(), F.array().cast("array<string>"))
-
-
 def char_ngrams_tail(c: Column, n: int) -> Column:
     """A gram at every position of the squeezed, trimmed text; those at the end are shorter."""
     t = F.trim(F.regexp_replace(c, " +", " "))
-    return _starts(F.char_length(t), lambda i: F.substr(t, i, F.lit(n)))
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{1,{n}}}))"), F.lit(1))
 
 
 def char_ngrams(c: Column, n: int, include_last: bool = False) -> Column:
@@ -145,17 +141,44 @@ def lemmatise(c: Column, analyser: Callable[[str], str] | None = None) -> Column
     return run(c)
 
 
+def bound(make: Callable[..., Column], *columns: Column) -> Column:
+    """make(*columns), each column evaluated once a row however often, and inside whatever lambda, make uses it."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])), lambda x: make(*[x[f"c{i}"] for i in range(len(columns))])), 1)
+
+
 def word_ngrams(tokens: Column, n: int, kind: str = "plain", separator: str = " ") -> Column:
     """plain: runs of n tokens; reversed: the same backwards; gap: pairs of tokens that stand n apart. Joined by a separator."""
-    size = F.size(tokens)
-    if kind == "gap":
-        return _starts(size - n, lambda i: F.concat(F.element_at(tokens, i), F.lit(separator), F.element_at(tokens, i + n)))
-    run = lambda i: F.slice(tokens, i, F.lit(n))
-    return _starts(size - n + 1, lambda i: F.array_join(F.reverse(run(i)) if kind == "reversed" else run(i), separator))
+
+    def make(t: Column) -> Column:
+        places = [0, n] if kind == "gap" else [*range(n)][:: -1 if kind == "reversed" else 1]
+        count = F.greatest(F.size(t) - max(places), F.lit(0))
+        moved = [F.slice(t, p + 1, count) for p in places]  # the same length, each a place on
+        out = moved[0]
+        for other in moved[1:]:
+            out = F.zip_with(out, other, lambda a, b: F.concat(a, F.lit(separator), b))
+        return out
+
+    return bound(make, tokens)
+
+
+def phrase_count(pattern: Column, tokens: Column) -> Column:
+    """How often phrase_positions finds the pattern, by strings: one pass over the text whatever the pattern's length. Tokens
+    must not hold U+0001."""
+    mark = lambda c: F.concat(F.lit("\x01"), F.array_join(c, "\x01\x01"), F.lit("\x01"))
+
+    def make(p: Column, t: Column) -> Column:
+        gone = F.octet_length(t) - F.octet_length(F.replace(t, p, F.lit("")))
+        return (gone / F.octet_length(p)).cast("int")
+
+    return F.when(F.size(pattern) > 0, bound(make, mark(pattern), mark(tokens))).when(pattern.isNotNull() & tokens.isNotNull(), 0)
 
 
 def phrase_positions(pattern: Column, tokens: Column) -> Column:
     """0-based positions of the pattern in the tokens, found from the left without overlap. An empty pattern is found nowhere."""
+    return bound(_phrase_positions, pattern, tokens)
+
+
+def _phrase_positions(pattern: Column, tokens: Column) -> Column:
     n = F.size(pattern)
     starts = F.when((n > 0) & (F.size(tokens) >= n), F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     hits = F.filter(starts, lambda i: F.slice(tokens, i + 1, n) == pattern)
@@ -163,10 +186,6 @@ def phrase_positions(pattern: Column, tokens: Column) -> Column:
     return F.aggregate(hits, F.array().cast("array<int>"), lambda acc, i: F.when(free(acc, i), F.concat(acc, F.array(i))).otherwise(acc))
 
 
-def phrase_count(pattern: Column, tokens: Column) -> Column:
-    return F.size(phrase_positions(pattern, tokens))
-
-
 def binarise(c: Column) -> Column:
     return F.when(c > 0, 1.0).otherwise(0.0)
 
@@ -191,9 +210,11 @@ def inflate(c: Column) -> Column:
     return _inflate(F.try_to_binary(c, F.lit("base64")))
 
 
-URL_PATTERN = r"(?i)(?<![a-z0-9+.\-])(?:https?|ftp)://[^\s\"'<>()\[\]{}|\\^`]+"
+#: A link is what starts, at the text's start or after a character that belongs to no word, with a scheme or with `www.`, goes on
+#: with a label and a dot, and runs as far as characters of URLs go. The same in Java's and RE2's syntax; group 1 is the link.
+URL_PATTERN = r"(?i)(?:^|\W)((?:https?://|ftps?://|www\.)[\w-]+\.[\w!#$%&'()*+,./:;=?@\[\]{}~-]*)"
 
 
 def extract_urls(html: Column) -> Column:
-    """Absolute URLs of a page in order, repeats kept, without punctuation at their end."""
-    return F.transform(F.regexp_extract_all(html, F.lit(URL_PATTERN), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    """Links of a page in order, with scheme or `www.`, repeats kept; punctuation at their end belongs to them."""
+    return F.regexp_extract_all(html, F.lit(URL_PATTERN), F.lit(1))
