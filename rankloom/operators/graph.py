@@ -44,6 +44,10 @@ def link_edges_by_url(links: DataFrame, dictionary: DataFrame) -> DataFrame:
     return links.select("doc_id", F.col("url").alias("dst")).join(own, "doc_id").select("src", "dst")
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
@@ -77,7 +81,7 @@ def page_rank(edges: DataFrame, alpha: float = 0.1, iterations: int = 10, dangli
     spread over all; compat loses it in the first round. stop_share: end when more than this share of nodes moved by less
     than stop_delta. Repeated edges count each. The ranks' lineage is cut every few rounds.
     """
-    edges = cut(edges.select("src", "dst"))  # read again every round, not made again
+    edges = cut(edges.select("src", "dst").repartition(_parts(edges), "src"))  # shuffled once; every round reads it where it lies
     degree = cut(degrees(edges).select("id", "n_out"))
     n = degree.count() if n is None else n
     if n == 0:
@@ -109,18 +113,20 @@ def hits(edges: DataFrame, iterations: int = 3, compat: bool = False, cut: Calla
     """(id, a, h): authority is the sum of the hub values that link here, hub the sum of the authorities linked to, both of the
     round before; start 1, not normalised. Repeated edges count each. compat: both are sums over what a node links to, and
     all links turn round after every round."""
-    edges = cut(edges.select("src", "dst"))  # read again every round, not made again
+    # one copy by each end, shuffled once; every round reads them where they lie
+    edges, by_dst = (cut(edges.select("src", "dst").repartition(_parts(edges), end)) for end in ("src", "dst"))
     scores = nodes(edges).select("id", F.lit(1.0).alias("a"), F.lit(1.0).alias("h"))
     for k in range(iterations):
         if k and k % 3 == 0:
             scores = cut(scores)
         if compat:
             here, there = ("src", "dst") if k % 2 == 0 else ("dst", "src")
-            sums = edges.join(scores, edges[there] == scores["id"]).groupBy(F.col(here).alias("id")).agg(F.sum("h").alias("na"), F.sum("a").alias("nh"))
+            own = edges if there == "src" else by_dst
+            sums = own.join(scores, own[there] == scores["id"]).groupBy(F.col(here).alias("id")).agg(F.sum("h").alias("na"), F.sum("a").alias("nh"))
             scores = scores.select("id").join(sums, "id", "left").select("id", F.coalesce("na", F.lit(0.0)).alias("a"), F.coalesce("nh", F.lit(0.0)).alias("h"))
             continue
         a = edges.join(scores, edges["src"] == scores["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("h").alias("na"))
-        h = edges.join(scores, edges["dst"] == scores["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("nh"))
+        h = by_dst.join(scores, by_dst["dst"] == scores["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("nh"))
         scores = scores.select("id").join(a, "id", "left").join(h, "id", "left").select("id", F.coalesce("na", F.lit(0.0)).alias("a"), F.coalesce("nh", F.lit(0.0)).alias("h"))
     return scores
 
