@@ -18,6 +18,16 @@ def profiles(log: DataFrame) -> DataFrame:
     return log.groupBy("query").agg(union("shown").alias("shown"), union("clicked").alias("clicked"))
 
 
+def known_profiles(log: DataFrame, queries: DataFrame, urls: DataFrame, compat: bool = False) -> DataFrame:
+    """profiles() of what the combiner lets pass: sessions of a known query (query), or that show a known URL (url). compat: a
+    session for which both hold counts twice, which no set of links can tell."""
+    log = log.withColumn("__row", F.monotonically_increasing_id())
+    by_query = log.join(queries.select("query").distinct(), "query", "left_semi")
+    shown = log.select("__row", F.explode("shown").alias("url")).join(urls.select("url").distinct(), "url", "left_semi").select("__row").distinct()
+    both = by_query.unionByName(log.join(shown, "__row", "left_semi"))
+    return profiles((both if compat else both.dropDuplicates(["__row"])).drop("__row"))
+
+
 def split_profiles(all_profiles: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profiles of known queries, all profiles)."""
     return all_profiles.join(queries.select("query").distinct(), "query", "left_semi"), all_profiles
@@ -34,7 +44,8 @@ def link_index(all_profiles: DataFrame, kind: str) -> DataFrame:
 
 
 def vocabulary(queries: DataFrame, unicode: bool = True) -> DataFrame:
-    return queries.select(F.explode(X.words(F.col("query"), unicode)).alias("word")).distinct()
+    """Distinct words, sorted."""
+    return queries.select(F.explode(X.words(F.col("query"), unicode)).alias("word")).distinct().orderBy("word")
 
 
 def similar_candidates(all_profiles: DataFrame, urls: DataFrame, words: DataFrame, url_share: float = 0.4, word_share: float = 1 / 3, unicode: bool = True) -> DataFrame:

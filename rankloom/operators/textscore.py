@@ -10,15 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.operators.lineage import cut_lineage
 
 SIZES = (3, 4, 5, 6, 7)
+#: Terms of a vocabulary that is broadcast, at most.
+VOCABULARY = 200_000
 K1, K2 = 1.2, 1000.0
 
 
-def char_terms(docs: DataFrame, n: int, vocabulary: DataFrame | None = None, include_last: bool = False) -> DataFrame:
-    """(doc_id, part, term, tf) of title (T) and body (B); only terms of the vocabulary (term), if given."""
-    part = lambda k, c: F.transform(X.char_ngrams(F.col(c), n, include_last), lambda t: F.struct(F.lit(k).alias("part"), t.alias("term")))
-    rows = docs.select("doc_id", F.explode(F.concat(part("T", "title"), part("B", "body"))).alias("e")).select("doc_id", "e.*")
+def small(vocabulary: DataFrame, bound: int = VOCABULARY) -> DataFrame:
+    """A vocabulary computed once, to be broadcast if it has no more than `bound` terms; else joined by a shuffle."""
+    kept = cut_lineage(vocabulary)
+    return F.broadcast(kept) if kept.count() <= bound else kept
+
+
+def char_terms(docs: DataFrame, n: int | tuple[int, ...], vocabulary: DataFrame | None = None, include_last: bool = False) -> DataFrame:
+    """(doc_id, part, term, tf) of title (T) and body (B), for one gram length or several in one pass over the texts; only terms
+    of the vocabulary (term), if given: a small one meets the grams before anything is shuffled."""
+    sizes = (n,) if isinstance(n, int) else n
+    part = lambda k, c, m: F.transform(X.char_ngrams(F.col(c), m, include_last), lambda t: F.struct(F.lit(k).alias("part"), t.alias("term")))
+    rows = docs.select("doc_id", F.explode(F.concat(*[part(k, c, m) for m in sizes for k, c in (("T", "title"), ("B", "body"))])).alias("e")).select("doc_id", "e.*")
     if vocabulary is not None:
         rows = rows.join(vocabulary, "term", "left_semi")
     return rows.groupBy("doc_id", "part", "term").agg(F.count("*").alias("tf"))
@@ -34,15 +45,19 @@ def tfidf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     return terms.join(idf, ["part", "term"]).select("doc_id", "part", "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
-def tfidf_pair_score(docs: DataFrame, queries: DataFrame, pairs: DataFrame, n: int = 3, title_weight: float = 1.0, body_weight: float = 0.8, compat: bool = False) -> DataFrame:
-    """(query_id, doc_id, tf_idf_<n>): title_weight * title + body_weight * body, each the sum of the document's weights over the
-    query's grams, with their multiplicity. queries: (query_id, text). Pairs of an unknown query or document vanish.
+def tfidf_pair_scores(docs: DataFrame, queries: DataFrame, pairs: DataFrame, sizes: tuple[int, ...] = SIZES, title_weight: float = 1.0, body_weight: float = 0.8, compat: bool = False) -> DataFrame:
+    """(query_id, doc_id, tf_idf_<n> for each n of sizes): title_weight * title + body_weight * body, each the sum of the document's
+    weights over the query's grams of length n, with their multiplicity. queries: (query_id, text). Pairs of an unknown query or
+    document vanish. All lengths are counted in one pass over the texts.
 
     compat: the body's weights come from the title, by the logarithm of the logarithmic frequency (0 where that is not positive).
     """
-    grams = queries.select("query_id", F.explode(X.char_ngrams(F.col("text"), n)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    named = lambda n: lambda t: F.struct(F.lit(n).alias("n"), t.alias("term"))
+    own = F.concat(*[F.transform(X.char_ngrams(F.col("text"), n), named(n)) for n in sizes])
+    grams = queries.select("query_id", F.explode(own).alias("g")).groupBy("query_id", "g.n", "g.term").agg(F.count("*").alias("times"))
     n_docs = docs.agg(F.count("*").alias("n"))
-    terms = char_terms(docs, n, grams.select("term").distinct())
+    kept = cut_lineage(grams)
+    terms = cut_lineage(char_terms(docs, tuple(sizes), small(kept.select("term").distinct())))  # counted, and weighed
     if compat:
         t = terms.where("part = 'T'")
         idf = document_frequency(t).crossJoin(F.broadcast(n_docs)).select("term", (F.ln("n") - F.ln("df")).alias("idf"))
@@ -52,21 +67,26 @@ def tfidf_pair_score(docs: DataFrame, queries: DataFrame, pairs: DataFrame, n: i
         by_part = F.when(F.col("part") == "T", title_weight).otherwise(body_weight)
         weights = tfidf(terms, n_docs).select("doc_id", "term", (by_part * F.col("weight")).alias("weight"))
     pairs = pairs.select("query_id", "doc_id").distinct().join(queries.select("query_id").distinct(), "query_id", "left_semi").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    scores = pairs.join(grams, "query_id").join(weights, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("s"))
-    return pairs.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias(f"tf_idf_{n}"))
+    parts = [F.sum(F.when(F.col("n") == n, F.col("times") * F.col("weight"))).alias(f"s{n}") for n in sizes]
+    if kept.count() <= VOCABULARY:  # the queries' grams go to the documents' weights, which are shuffled only once summed
+        matched = weights.join(F.broadcast(kept), "term")
+    else:
+        matched = pairs.join(kept, "query_id").join(weights, ["doc_id", "term"])
+    scores = matched.groupBy("query_id", "doc_id").agg(*parts)
+    return pairs.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", *[F.coalesce(f"s{n}", F.lit(0.0)).alias(f"tf_idf_{n}") for n in sizes])
 
 
-def gram_pairs(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Distinct (query_id, doc_id) that share a character gram of the title or body."""
-    grams = queries.select("query_id", F.explode(F.array_distinct(X.char_ngrams(F.col("text"), n))).alias("term"))
-    held = char_terms(docs, n, grams.select("term").distinct()).select("doc_id", "term").distinct()
-    return held.join(grams, "term").select("query_id", "doc_id").distinct()
+def tfidf_pair_score(docs: DataFrame, queries: DataFrame, pairs: DataFrame, n: int = 3, title_weight: float = 1.0, body_weight: float = 0.8, compat: bool = False) -> DataFrame:
+    """tfidf_pair_scores for one length."""
+    return tfidf_pair_scores(docs, queries, pairs, (n,), title_weight, body_weight, compat)
 
 
-def term_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Distinct (query_id, doc_id) that share a token of the title or body."""
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.concat("title", "body"))).alias("term"))
-    return held.join(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")), "term").select("query_id", "doc_id").distinct()
+def term_pairs(docs: DataFrame, queries: DataFrame, longer_than: int = 0) -> DataFrame:
+    """Distinct (query_id, doc_id) that share a token of the title or body, of more than so many letters."""
+    long = lambda c: F.filter(F.array_distinct(c), lambda x: F.char_length(x) > longer_than)
+    asked = queries.select("query_id", F.explode(long(F.col("tokens"))).alias("term"))
+    held = docs.select("doc_id", F.explode(long(F.concat("title", "body"))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    return held.join(asked, "term").select("query_id", "doc_id").distinct()
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -87,13 +107,13 @@ def query_bigrams(queries: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term, tf, title_tf) of the terms in body and title."""
     part = lambda c, k: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(k).alias("t")))
-    rows = docs.select("doc_id", F.explode(F.concat(part("body", 0), part("title", 1))).alias("e")).select("doc_id", "e.*").join(terms, "term", "left_semi")
+    rows = docs.select("doc_id", F.explode(F.concat(part("body", 0), part("title", 1))).alias("e")).select("doc_id", "e.*").join(small(terms), "term", "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.count_if(F.col("t") == 0).alias("tf"), F.sum("t").alias("title_tf"))
 
 
 def forward_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term, positions) in the body."""
-    rows = docs.select("doc_id", F.posexplode("body").alias("pos", "term")).join(terms, "term", "left_semi")
+    rows = docs.select("doc_id", F.posexplode("body").alias("pos", "term")).join(small(terms), "term", "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -128,7 +148,7 @@ def bigram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     kinds = (("plain", 1.2), ("reversed", 0.7), ("gap", 0.5))
     part = lambda c, k, w: F.transform(X.word_ngrams(F.col(c), 2, k), lambda g: F.struct(g.alias("gram"), F.lit(w).alias("w")))
     rows = docs.select("doc_id", F.explode(F.concat(*[part(c, k, w * m) for k, w in kinds for c, m in (("body", 1.0), ("title", 3.0))])).alias("e"))
-    return rows.select("doc_id", "e.*").join(grams, "gram", "left_semi").groupBy("doc_id", "gram").agg(F.sum("w").alias("tf"))
+    return rows.select("doc_id", "e.*").join(small(grams), "gram", "left_semi").groupBy("doc_id", "gram").agg(F.sum("w").alias("tf"))
 
 
 def bigram_score(pairs: DataFrame, queries: DataFrame, bigrams: DataFrame, icf: DataFrame, column: str = "tokens") -> DataFrame:
@@ -153,10 +173,21 @@ def all_words_score(pairs: DataFrame, queries: DataFrame, counts: DataFrame, icf
     return missing.join(_rare(queries, icf, column), "query_id").select("query_id", "doc_id", (F.col("rare") * F.pow(F.lit(penalty), "missing")).alias("score"))
 
 
-def phrase_score(pairs: DataFrame, queries: DataFrame, docs: DataFrame, icf: DataFrame, half: bool = False, column: str = "tokens") -> DataFrame:
+def phrase_score(pairs: DataFrame, queries: DataFrame, docs: DataFrame, icf: DataFrame, half: bool = False, column: str = "tokens", counts: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score): rare * tf/(1 + tf), tf the non-overlapping matches of the whole query in the body and three
-    times those in the title; half: of all runs of half its length."""
-    rows = pairs.join(queries.select("query_id", F.col(column).alias("q")), "query_id").join(docs, "doc_id")
+    times those in the title; half: of all runs of half its length.
+
+    counts: term_counts of the query's tokens. With them a text is looked at only for queries whose every token it holds; no
+    other can match as a whole, so the scores are the same."""
+    asked = queries.select("query_id", F.col(column).alias("q"))
+    nothing = None
+    if counts is not None and not half:
+        kinds = asked.select("query_id", F.size(F.array_distinct("q")).alias("kinds"), F.explode(F.array_distinct("q")).alias("term"))
+        held = pairs.join(kinds, "query_id").join(counts.select("doc_id", "term"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg((F.count("*") == F.first("kinds")).alias("whole"))
+        some = cut_lineage(held.where("whole").select("query_id", "doc_id"))
+        nothing = pairs.join(asked.select("query_id"), "query_id").join(docs.select("doc_id"), "doc_id").join(some, ["query_id", "doc_id"], "left_anti").join(_rare(queries, icf, column), "query_id").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+        pairs = some
+    rows = pairs.join(asked, "query_id").join(docs, "doc_id")
     times = lambda p: X.phrase_count(p, F.col("body")) + 3 * X.phrase_count(p, F.col("title"))
     if half:
         n = F.floor(F.size("q") / 2).cast("int")
@@ -165,21 +196,22 @@ def phrase_score(pairs: DataFrame, queries: DataFrame, docs: DataFrame, icf: Dat
     else:
         tf = times(F.col("q"))
     rows = rows.select("query_id", "doc_id", tf.alias("tf")).join(_rare(queries, icf, column), "query_id")
-    return rows.select("query_id", "doc_id", (F.col("rare") * F.col("tf") / (1.0 + F.col("tf"))).alias("score"))
+    out = rows.select("query_id", "doc_id", (F.col("rare") * F.col("tf") / (1.0 + F.col("tf"))).alias("score"))
+    return out if nothing is None else out.unionByName(nothing)
 
 
 def total_score(docs: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): unigrams + .4 synonyms' + .2 bigrams + .08 synonyms' + .3 phrase. Pairs of unknown queries or
     documents vanish; see predicted() for them."""
     terms = query_terms(queries)
-    counts = term_counts(docs, terms)
-    icf, lengths = log_icf(counts, terms), document_lengths(counts)
-    pairs = pairs.select("query_id", "doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi").join(queries.select("query_id"), "query_id", "left_semi")
+    counts = cut_lineage(term_counts(docs, terms))  # read again by every part
+    icf, lengths = cut_lineage(log_icf(counts, terms)), document_lengths(counts)
+    pairs = cut_lineage(pairs.select("query_id", "doc_id").distinct()).join(docs.select("doc_id"), "doc_id", "left_semi").join(queries.select("query_id"), "query_id", "left_semi")
     wanted = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     bigrams = bigram_counts(wanted, query_bigrams(queries))
     parts = [
         (unigram_score(pairs, queries, counts, icf, lengths), 1.0), (unigram_score(pairs, queries, counts, icf, lengths, "synonyms"), 0.4),
-        (bigram_score(pairs, queries, bigrams, icf), 0.2), (bigram_score(pairs, queries, bigrams, icf, "synonyms"), 0.2 * 0.4), (phrase_score(pairs, queries, wanted, icf), 0.3),
+        (bigram_score(pairs, queries, bigrams, icf), 0.2), (bigram_score(pairs, queries, bigrams, icf, "synonyms"), 0.2 * 0.4), (phrase_score(pairs, queries, wanted, icf, counts=counts), 0.3),
     ]
     every = pairs.withColumn("score", F.lit(0.0))
     for p, w in parts:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.plans import clicks, links, ranking, texts, whole
+from rankloom.plans import clicks, links, ranking, texts, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for part in (clicks, texts, links, ranking, whole):
+for part in (clicks, texts, links, ranking, values):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

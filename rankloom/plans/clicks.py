@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import clicklog as C
 from rankloom.operators import similarity as S
-from rankloom.plans.common import BASE, CTR, rounded, sql_rounded
+from rankloom.plans.common import BASE, CTR, KNOWN, rounded, sql_rounded
 from rankloom.sources import adapters as A
 
 QUERIES: dict = {}
@@ -24,29 +24,35 @@ def query(sql: str | None = None):
     return add
 
 
-def _in(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return A.sessions(spark, d), A.query_dictionary(spark, d, whole), A.url_dictionary(spark, d, whole)
+def _in(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The log and whole dictionaries."""
+    return A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+
+
+def _some(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The log and the dictionaries that leave entries out, for the operators whose feature is to filter by them."""
+    return A.sessions(spark, d), A.known_queries(spark, d), A.known_urls(spark, d)
 
 
 @query(f"with {BASE}, {CTR} select query, url, clicks::bigint as clicks, shows::bigint as shows, round(case when clicks > 0 and shows > 0 then clicks / shows end, 6) as qdoc_ctr from ctr")
-def qdoc_ctr(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(C.qdoc_ctr(*_in(spark, d, whole)))
+def qdoc_ctr(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.qdoc_ctr(*_in(spark, d)))
 
 
-@query(f"with {BASE}, {CTR} select query, url, round(clicks / shows, 6) as ctr from ctr where clicks > 0 and shows > 0")
+@query(f"with {KNOWN}, {CTR} select query, url, round(clicks / shows, 6) as ctr from ctr where clicks > 0 and shows > 0")
 def qdoc_ctr_positive(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.positive_ctr(_in(spark, d)[0], "qdoc", *_in(spark, d)[1:]))
+    return rounded(C.positive_ctr(_some(spark, d)[0], "qdoc", *_some(spark, d)[1:]))
 
 
-@query(f"with {BASE} select url, round(sum(c) / sum(1 - c), 6) as ctr from ku group by url having sum(c) > 0 and sum(1 - c) > 0")
+@query(f"with {KNOWN} select url, round(sum(c) / sum(1 - c), 6) as ctr from ku group by url having sum(c) > 0 and sum(1 - c) > 0")
 def url_global_ctr(spark: SparkSession, d: str) -> DataFrame:
-    log, _, urls = _in(spark, d)
+    log, _, urls = _some(spark, d)
     return rounded(C.positive_ctr(log, "global", urls=urls))
 
 
-@query(f"with {BASE} select url, (p + 1)::int as rank, round(sum(c) / sum(1 - c), 6) as ctr from ku group by url, p having sum(c) > 0 and sum(1 - c) > 0")
+@query(f"with {KNOWN} select url, (p + 1)::int as rank, round(sum(c) / sum(1 - c), 6) as ctr from ku group by url, p having sum(c) > 0 and sum(1 - c) > 0")
 def url_rank_ctr_unbounded(spark: SparkSession, d: str) -> DataFrame:
-    log, _, urls = _in(spark, d)
+    log, _, urls = _some(spark, d)
     return rounded(C.positive_ctr(log, "rank", urls=urls))
 
 
@@ -66,8 +72,8 @@ def url_rank_ctr(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {BASE}, {CTR} select query, url, a_n::bigint as a_n, a_d::bigint as a_d, s_n::bigint as s_n, s_d::bigint as s_d from sdbn")
-def sdbn_counters(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return C.click_model_counters(*_in(spark, d, whole))
+def sdbn_counters(spark: SparkSession, d: str) -> DataFrame:
+    return C.click_model_counters(*_in(spark, d))
 
 
 _PLAIN = """
@@ -78,9 +84,9 @@ z as (select query, url, sum(a_n) as a_n, sum(a_d) as a_d, sum(s_n) as s_n, sum(
 """
 
 
-@query(f"with {BASE}, {_PLAIN} select query, url, round((a_n + .1) / (a_d + .2), 6) as a_u, round((s_n + .1) / (s_d + .2), 6) as s_u, round((a_n + .1) / (a_d + .2) * (s_n + .1) / (s_d + .2), 6) as r_u from z")
+@query(f"with {KNOWN}, {_PLAIN} select query, url, round((a_n + .1) / (a_d + .2), 6) as a_u, round((s_n + .1) / (s_d + .2), 6) as s_u, round((a_n + .1) / (a_d + .2) * (s_n + .1) / (s_d + .2), 6) as r_u from z")
 def sdbn_relevance(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, _ = _in(spark, d)
+    log, queries, _ = _some(spark, d)
     return rounded(C.click_model(C.click_model_counters(log, queries)).select("query", "url", "a_u", "s_u", "r_u"))
 
 
@@ -95,8 +101,8 @@ qf as (
 
 
 @query(f"with {BASE}, {_QUERY} select query, {sql_rounded(C.QUERY_FEATURES)} from qf")
-def features_query(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    log, queries, _ = _in(spark, d, whole)
+def features_query(spark: SparkSession, d: str) -> DataFrame:
+    log, queries, _ = _in(spark, d)
     return rounded(C.features_query(log, queries))
 
 
@@ -121,8 +127,8 @@ uf as (
 
 
 @query(f"with {BASE}, {_URL} select url, click_count::bigint as click_count, shows_count::bigint as shows_count from uf")
-def url_counts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    log, _, urls = _in(spark, d, whole)
+def url_counts(spark: SparkSession, d: str) -> DataFrame:
+    log, _, urls = _in(spark, d)
     return C.url_positions(log, urls).select("url", "click_count", "shows_count")
 
 
@@ -133,8 +139,8 @@ def url_mean_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {BASE}, {_RANK_SQL}, {_URL} select url, {sql_rounded(C.URL_FEATURES[:11])}, click_count::bigint as click_count, shows_count::bigint as shows_count, round(mean_click_pos, 6) as mean_click_pos, round(mean_show_pos, 6) as mean_show_pos from rc join uf using (url)")
-def features_url(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    log, _, urls = _in(spark, d, whole)
+def features_url(spark: SparkSession, d: str) -> DataFrame:
+    log, _, urls = _in(spark, d)
     return rounded(C.features_url(log, urls))
 
 
@@ -149,8 +155,8 @@ qf2 as (select *, (a_n + .1) / (a_d + .2) as a_u, (s_n + .1) / (s_d + .2) as s_u
 
 
 @query(f"with {BASE}, {CTR}, {_QD} select query, url, round(qdoc_ctr, 6) as qdoc_ctr, a_n, a_d, s_n, s_d, round(a_u, 6) as a_u, round(s_u, 6) as s_u, round(r_u, 6) as r_u from qf2")
-def features_qd(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(C.features_qd(*_in(spark, d, whole)))
+def features_qd(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.features_qd(*_in(spark, d)))
 
 
 _FLAT = "array_to_string(shown, ',') as shown, array_to_string(clicked, ',') as clicked"
@@ -160,15 +166,15 @@ def _flat(log: DataFrame, *columns: str) -> DataFrame:
     return log.select(*columns, F.array_join("shown", ",").alias("shown"), F.array_join("clicked", ",").alias("clicked"))
 
 
-@query(f"with {BASE} select sid, query, {_FLAT} from sess where query in (select query from qd)")
+@query(f"with {KNOWN} select sid, query, {_FLAT} from sess where query in (select query from qd)")
 def filter_log_known_query(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, _ = _in(spark, d)
+    log, queries, _ = _some(spark, d)
     return _flat(C.filter_log(log, queries), "sid", "query")
 
 
-@query(f"with {BASE} select sid, query, {_FLAT} from sess where sid in (select sid from ku)")
+@query(f"with {KNOWN} select sid, query, {_FLAT} from sess where sid in (select sid from ku)")
 def filter_log_known_url(spark: SparkSession, d: str) -> DataFrame:
-    log, _, urls = _in(spark, d)
+    log, _, urls = _some(spark, d)
     return _flat(C.filter_log(log, None, urls), "sid", "query")
 
 
@@ -177,9 +183,9 @@ def distinct_log(spark: SparkSession, d: str) -> DataFrame:
     return C.distinct_log(_flat(_in(spark, d)[0], "query"))
 
 
-@query(f"with {BASE}, p as (select distinct query, url from ent) select * from p where query in (select query from qd) or url in (select url from ud)")
+@query(f"with {KNOWN}, p as (select distinct query, url from ent) select * from p where query in (select query from qd) or url in (select url from ud)")
 def filter_pairs(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, urls = _in(spark, d)
+    log, queries, urls = _some(spark, d)
     return C.filter_pairs(C.entries(log).select("query", "url").distinct(), queries, urls)
 
 
@@ -209,9 +215,9 @@ rk as (select *, row_number() over (partition by query order by round(dist, 12)
 """
 
 
-@query(f"with {BASE}, {_LINKS} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from rk where rank <= 20")
+@query(f"with {KNOWN}, {_LINKS} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from rk where rank <= 20")
 def query_similarity_links_top20(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, _ = _in(spark, d)
+    log, queries, _ = _some(spark, d)
     known, every = S.split_profiles(S.profiles(log), queries)
     dist = S.link_distances(known, every).withColumn("dist", F.round("dist", 12))
     return rounded(S.top_similar(dist, threshold=None))
@@ -228,29 +234,29 @@ tk as (select *, row_number() over (partition by query order by round(dist, 12)
 """
 
 
-@query(f"with {BASE}, {_TEXT} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from tk where rank <= 20")
+@query(f"with {KNOWN}, {_TEXT} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from tk where rank <= 20")
 def query_similarity_text_top20(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, _ = _in(spark, d)
+    log, queries, _ = _some(spark, d)
     known, every = S.split_profiles(S.profiles(log), queries)
     return rounded(S.top_similar(S.text_distances(known, every).withColumn("dist", F.round("dist", 12))))
 
 
 @query(
-    f"with {BASE}, {_TEXT}, nw as (select distinct sim as query from tk where rank <= 20 and sim not in (select query from qd)) "
+    f"with {KNOWN}, {_TEXT}, nw as (select distinct sim as query from tk where rank <= 20 and sim not in (select query from qd)) "
     "select query_id, query from qd union all select (select max(query_id) from qd) + row_number() over (order by query), query from nw"
 )
 def extend_query_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, _ = _in(spark, d)
+    log, queries, _ = _some(spark, d)
     known, every = S.split_profiles(S.profiles(log), queries)
     return S.extend_dictionary(queries, S.top_similar(S.text_distances(known, every))).select(F.col("query_id").cast("bigint").alias("query_id"), "query")
 
 
 @query(
-    f"with {BASE}, {_WORDS}, vw as (select distinct word from wd join qd using (query)), "
+    f"with {KNOWN}, {_WORDS}, vw as (select distinct word from wd join qd using (query)), "
     "su as (select query, avg((url in (select url from ud))::int) as u from (select distinct query, url from ck) group by query), "
     "sw as (select query, avg((word in (select word from vw))::int) as w from wd group by query) "
     "select query from su join sw using (query) where u >= .4 and w >= 1 / 3"
 )
 def similarity_candidates(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, urls = _in(spark, d)
+    log, queries, urls = _some(spark, d)
     return S.similar_candidates(S.profiles(log), urls, S.vocabulary(queries)).select("query")

@@ -27,8 +27,8 @@ sess as (
   from base group by sid
 ),
 qall as (select query, row_number() over (order by query) as query_id from (select distinct query from base)),
-qd as (select * from qall where query_id % 5 <> 0),
-ud as (select p_partkey as url_id, 'p' || p_partkey || '.com' as url from part where p_size <= 40),
+qd as (select * from qall),
+ud as (select p_partkey as url_id, 'p' || p_partkey || '.com' as url from part),
 sh as (select sid, query, unnest(shown) as url, unnest(range(len(shown))) as p from sess),
 ck as (select sid, query, unnest(clicked) as url, unnest(range(len(clicked))) as p from sess),
 ent as (select sid, query, url, p, 0 as c from sh union all select sid, query, url, p, 1 from ck),
@@ -37,6 +37,9 @@ ku as (select * from ent where url in (select url from ud)),
 kb as (select * from kq where url in (select url from ud))
 """
 
+#: The same with the dictionaries of the operators whose feature is to keep known entries.
+KNOWN = BASE.replace("from qall),", "from qall where query not like '%not specified'),").replace("from part),", "from part where p_type <> 'SMALL'),")
+
 CTR = """
 ctr as (select query, url, sum(c) as clicks, sum(1 - c) as shows from kb group by query, url),
 f as (

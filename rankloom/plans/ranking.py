@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import clicklog as C
 from rankloom.operators import ltr as L
 from rankloom.operators.lineage import cut_lineage
-from rankloom.plans.common import BASE, CTR, rounded
+from rankloom.plans.common import BASE, CTR, KNOWN, rounded
 from rankloom.sources import adapters as A
 
 QUERIES: dict = {}
@@ -25,8 +25,9 @@ def query(sql: str | None = None):
     return add
 
 
-PAIRS = f"""with {BASE}, {CTR},
-cp as (select query_id, p_partkey as url_id, p_size % 3 as mark from part join qall on p_partkey % 7 = query_id % 7),
+#: Every query-URL pair of the log, once.
+_BODY = """
+cp as (select query_id, p_partkey as url_id, p_size % 3 as mark from (select distinct query, url from ent) join qall using (query) join part on url = 'p' || p_partkey || '.com'),
 kp as (select cp.* from cp where query_id in (select query_id from qd) and url_id in (select url_id from ud)),
 fq as (select query_id, url_id, clicks / nullif(shows, 0) as c, shows from ctr join qd using (query) join ud using (url)),
 fu as (select url_id, sum(c) as click_count, sum(1 - c) as shows_count from ku join ud using (url) group by url_id),
@@ -37,11 +38,13 @@ jf as (
 ),
 jx as (select * from jf where qd_qdoc_ctr is not null or url_click_count is not null or query_mean_click is not null)
 """
+PAIRS = f"with {BASE}, {CTR}, {_BODY}"
+SOME = f"with {KNOWN}, {CTR}, {_BODY}"
 
 
-def _joined(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d, whole), A.url_dictionary(spark, d, whole)
-    pairs = A.log_pairs(spark, d) if whole else A.click_pairs(spark, d)
+def _joined(spark: SparkSession, d: str) -> DataFrame:
+    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+    pairs = A.log_pairs(spark, d)
     qd = L.prefixed(L.to_ids(C.qdoc_ctr(log, queries, urls).select("query", "url", "qdoc_ctr"), queries, urls), "qd", L.KEYS)
     url = L.prefixed(L.to_ids(C.url_positions(log, urls).select("url", "click_count", "shows_count"), None, urls), "url", L.KEYS)
     q = L.prefixed(L.to_ids(C.features_query(log, queries).select("query", "mean_click"), queries), "query", L.KEYS)
@@ -49,104 +52,104 @@ def _joined(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
 
 
 @query(PAIRS + "select query_id, url_id, mark, round(qd_qdoc_ctr, 6) as qd_qdoc_ctr, url_click_count::bigint as url_click_count, url_shows_count::bigint as url_shows_count, round(query_mean_click, 6) as query_mean_click from jx")
-def pair_feature_join(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(_joined(spark, d, whole))
+def pair_feature_join(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_joined(spark, d))
 
 
 @query(PAIRS + """, z as (select query_id, url_id, coalesce(qd_qdoc_ctr, 0) as a, coalesce(url_click_count, 0)::double as b, coalesce(query_mean_click, 0) as c from jx)
 select query_id, url_id, round(a, 6) as a, b, round(c, 6) as c, round(a * b, 6) as a_b, round(a * c, 6) as a_c, round(b * c, 6) as b_c from z""")
-def interactions_deg2(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def interactions_deg2(spark: SparkSession, d: str) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    z = _joined(spark, d, whole).select(*L.KEYS, zero("qd_qdoc_ctr").alias("a"), zero("url_click_count").alias("b"), zero("query_mean_click").alias("c"))
+    z = _joined(spark, d).select(*L.KEYS, zero("qd_qdoc_ctr").alias("a"), zero("url_click_count").alias("b"), zero("query_mean_click").alias("c"))
     return rounded(L.interactions(z, ["a", "b", "c"]))
 
 
 @query(PAIRS + """, qq as (select query_id, row_number() over (order by query_id) as k, count(*) over () as n from (select distinct query_id from jx))
 select query_id, url_id, mark, k > n - floor(n * .2) as validation from jx join qq using (query_id)""")
-def query_group_split(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return L.split_by_query(_joined(spark, d, whole).select(*L.KEYS, "mark"))
+def query_group_split(spark: SparkSession, d: str) -> DataFrame:
+    return L.split_by_query(_joined(spark, d).select(*L.KEYS, "mark"))
 
 
 @query(PAIRS + """, sc as (select query_id, url_id, mark, coalesce(round(url_click_count / 1.0, 6), 0) as score from jx),
 rn as (select *, row_number() over (partition by query_id order by score desc, url_id) as r, row_number() over (partition by query_id order by mark desc, url_id) as i from sc),
 dc as (select query_id, sum((pow(2, mark) - 1) / log2(r + 1)) filter (r <= 5) as dcg, sum((pow(2, mark) - 1) / log2(i + 1)) filter (i <= 5) as best from rn group by query_id)
 select query_id, round(coalesce(dcg / nullif(best, 0), 1), 6) as ndcg from dc""")
-def ndcg_at_5(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(L.ndcg(_joined(spark, d, whole).withColumn("score", F.coalesce("url_click_count", F.lit(0))).select(*L.KEYS, "mark", "score")))
+def ndcg_at_5(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.ndcg(_joined(spark, d).withColumn("score", F.coalesce("url_click_count", F.lit(0))).select(*L.KEYS, "mark", "score")))
 
 
 @query(PAIRS + "select query_id, count(*) as n from jx group by query_id")
-def group_sizes(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return L.group_sizes(_joined(spark, d, whole))
+def group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return L.group_sizes(_joined(spark, d))
 
 
-@query(PAIRS + "select query_id, url_id, mark from cp union all select query_id, url_id, -1 from kp")
+@query(SOME + "select query_id, url_id, mark from cp union all select query_id, url_id, -1 from kp")
 def pair_union(spark: SparkSession, d: str) -> DataFrame:
-    pairs, queries, urls = A.click_pairs(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+    pairs, queries, urls = A.log_pairs(spark, d), A.known_queries(spark, d), A.known_urls(spark, d)
     return L.union_pairs(pairs, L.known_pairs(pairs, queries, urls).withColumn("mark", F.lit(-1)))
 
 
-@query(PAIRS + "select coalesce(a.url_id, b.url_id) as url_id, a.click_count::bigint as click_count, b.p_retailprice as price from fu a full join (select p_partkey as url_id, p_retailprice from part where p_size % 2 = 0) b using (url_id)")
+@query(PAIRS + "select coalesce(a.url_id, b.url_id) as url_id, a.click_count::bigint as click_count, b.p_retailprice as price from fu a full join (select p_partkey as url_id, p_retailprice from part where p_type <> 'SMALL') b using (url_id)")
 def merge_feature_sources(spark: SparkSession, d: str) -> DataFrame:
     urls = A.url_dictionary(spark, d)
     one = L.to_ids(C.url_positions(A.sessions(spark, d), urls).select("url", "click_count"), None, urls)
-    two = A.load(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("url_id"), F.col("p_retailprice").alias("price"))
+    two = A.load(spark, d, "part").where("p_type <> 'SMALL'").select(F.col("p_partkey").alias("url_id"), F.col("p_retailprice").alias("price"))
     return L.merge_sources([one, two], ["url_id"])
 
 
-@query(PAIRS + "select cp.query_id, cp.url_id, mark, query, url from cp left join qd using (query_id) left join ud using (url_id)")
+@query(SOME + "select cp.query_id, cp.url_id, mark, query, url from cp left join qd using (query_id) left join ud using (url_id)")
 def ids_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return L.to_text(A.click_pairs(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)).select(*L.KEYS, "mark", "query", "url")
+    return L.to_text(A.log_pairs(spark, d), A.known_queries(spark, d), A.known_urls(spark, d)).select(*L.KEYS, "mark", "query", "url")
 
 
-@query(PAIRS + "select query_id, url_id, shows::bigint as shows from fq")
+@query(SOME + "select query_id, url_id, shows::bigint as shows from fq")
 def text_to_ids(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+    log, queries, urls = A.sessions(spark, d), A.known_queries(spark, d), A.known_urls(spark, d)
     return L.to_ids(C.qdoc_ctr(log, queries, urls).select("query", "url", "shows"), queries, urls)
 
 
-_SAMPLE = PAIRS + """, sm as (select query_id, url_id, row_number() over (partition by query_id order by url_id desc) as position from cp),
+_SAMPLE = SOME + """, sm as (select query_id, url_id, row_number() over (partition by query_id order by url_id desc) as position from cp),
 pd as (select query_id, url_id, coalesce(round(c, 6), 0) as score from fq),
 fm as (select sm.*, score is null as missing, coalesce(score, min(score) over (partition by query_id) - 1, -1) as filled from sm left join pd using (query_id, url_id))
 """
 
 
-def _sample(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)  # what is scored: known entries only
-    pairs = A.log_pairs(spark, d) if whole else A.click_pairs(spark, d)
+    log, queries, urls = A.sessions(spark, d), A.known_queries(spark, d), A.known_urls(spark, d)  # what is scored: known entries only, so that scores are missing
+    pairs = A.log_pairs(spark, d)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("url_id")))
     scores = L.to_ids(C.qdoc_ctr(log, queries, urls), queries, urls).select(*L.KEYS, F.coalesce(F.round("qdoc_ctr", 6), F.lit(0.0)).alias("score"))
     return pairs.select("query_id", "url_id", place.alias("position")), scores
 
 
 @query(_SAMPLE + "select query_id, row_number() over (partition by query_id order by filled desc, position)::int as rank, url_id, round(filled, 6) as filled from fm")
-def submission_fallback(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(L.submission(*_sample(spark, d, whole)))
+def submission_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.submission(*_sample(spark, d)))
 
 
 @query(_SAMPLE + "select query_id, round(avg(missing::int), 6) as share from fm group by query_id having avg(missing::int) > .1")
-def unscored_share(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(L.unscored_share(*_sample(spark, d, whole)))
+def unscored_share(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.unscored_share(*_sample(spark, d)))
 
 
 @query(_SAMPLE + "select distinct url_id from fm where missing")
-def unscored_urls(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return L.unscored_urls(*_sample(spark, d, whole))
+def unscored_urls(spark: SparkSession, d: str) -> DataFrame:
+    return L.unscored_urls(*_sample(spark, d))
 
 
 @query(PAIRS + """select url_id || chr(9) || mark || ' qid:' || query_id || coalesce(' 0:' || url_click_count::bigint, '') || coalesce(' 1:' || url_shows_count::bigint, '') as value from jx""")
-def libsvm_rows(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def libsvm_rows(spark: SparkSession, d: str) -> DataFrame:
     from rankloom.sources.io import libsvm_lines
 
-    return libsvm_lines(_joined(spark, d, whole), ["url_click_count", "url_shows_count"])
+    return libsvm_lines(_joined(spark, d), ["url_click_count", "url_shows_count"])
 
 
 @query()
 def rank_model(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees trained on the first four fifths of queries, scoring the last."""
+    """Boosted trees of the pairwise loss, trained on the first four fifths of queries, scoring the last."""
     columns = ["qd_qdoc_ctr", "url_click_count", "url_shows_count", "query_mean_click"]
-    marked = cut_lineage(L.split_by_query(_joined(spark, d, whole=True)))  # read again, not joined again, by bins, cells and scores
-    score, _ = L.train_ranker(marked.where("not validation"), columns, kind="binned", rounds=1500, depth=6, rate=0.01)
+    marked = cut_lineage(L.split_by_query(_joined(spark, d)))  # read again, not joined again, by bins, cells and scores
+    score, _ = L.train_ranker(marked.where("not validation"), columns, kind="ranked", rounds=1500, depth=6, rate=0.01)
     return score(marked.where("validation")).select(*L.KEYS, "mark", F.round("score", 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
 from rankloom.operators import textscore as T
+from rankloom.operators.lineage import cut_lineage
 from rankloom.plans.common import rounded
 from rankloom.sources import adapters as A
 
@@ -27,11 +28,17 @@ def query(sql: str | None = None, name: str | None = None):
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', ' ', 'g'), ' +'), lambda x: x <> '')"
 _GRAMS = "case when len({0}) > {1} then list_transform(range(1, (len({0}) - {1} + 1)::bigint), lambda i: substr({0}, i, {1})) else [] end"
 
+#: A query is scored on every document that shares one of its words of more than so many letters.
+LONG = 5
+
 DOCS = f"""
 dc as (select doc_id, regexp_extract(text, '^[^\\n.]*') as title, text as body from documents),
 q0 as (select item_id as query_id, {_TOKENS.format("text")} as w from benchmark),
-qs as (select query_id, w[1:4] as tokens, w[5:6] as synonyms, array_to_string(w[1:4], ' ') as text from q0),
-jp as (select distinct doc_id % (select count(*) from benchmark) as query_id, doc_id from labels)
+qs as (select query_id, w as tokens, list_filter(w, lambda x: len(x) > 7) as synonyms, array_to_string(w, ' ') as text from q0),
+jp as (
+  select distinct query_id, doc_id from (select distinct query_id, unnest(w) as term from q0)
+  join (select distinct doc_id, unnest({_TOKENS.format("body")}) as term from dc) using (term) where len(term) > {LONG}
+)
 """
 
 
@@ -42,7 +49,7 @@ def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with w as (select doc_id, {_TOKENS.format('text')} as t from documents), g as (select doc_id, unnest(list_transform(range(1, greatest(len(t) - 1, 1)::bigint), lambda i: t[i] || ' ' || t[i + 2])) as gram from w) select doc_id, count(*) as n, count(distinct gram) as kinds, min(gram) as first from g group by doc_id")
 def word_ngrams_gap(spark: SparkSession, d: str) -> DataFrame:
-    g = A.load(spark, d, "documents").select("doc_id", F.explode(X.word_ngrams(X.tokenize(F.col("text")), 2, "gap")).alias("gram"))
+    g = A.dealt(A.load(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.word_ngrams(X.tokenize(F.col("text")), 2, "gap")).alias("gram"))
     return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("gram").alias("kinds"), F.min("gram").alias("first"))
 
 
@@ -54,30 +61,34 @@ def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tfidf_sql(n: int) -> str:
-    g = _GRAMS.format("replace(lower({}), ' ', '')", n)
-    part = lambda c, k: f"select doc_id, '{k}' as part, unnest({g.replace('{}', c)}) as term from dc"
-    return f"""with {DOCS}, qg as (select query_id, term, count(*) as times from (select query_id, unnest({g.replace('{}', 'text')}) as term from qs) group by all),
-tt as (select doc_id, part, term, count(*) as tf from ({part('title', 'T')} union all {part('body', 'B')}) where term in (select term from qg) group by all),
+    # grams from n starting places, each a match after the other: no gram is cut from the text's start anew
+    found = lambda columns, source: " union all ".join(f"select {columns}, unnest(regexp_extract_all(substr(x, {o + 1}, greatest(len(x) - {o + 1}, 0)), '(?s).{{{n}}}')) as term from {source}" for o in range(n))
+    plain = lambda c: f"replace(lower({c}), ' ', '') as x"
+    return f"""with {DOCS}, qx as (select query_id, {plain('text')} from qs), qg as (select query_id, term, count(*) as times from ({found('query_id', 'qx')}) group by all),
+dx as materialized (select doc_id, 'T' as part, {plain('title')} from dc union all select doc_id, 'B', {plain('body')} from dc),
+tt as (select doc_id, part, term, count(*) as tf from ({found('doc_id, part', 'dx')}) where term in (select term from qg) group by all),
 df as (select part, term, ln((select count(*) from dc)) - ln(count(*)) as idf from tt group by all),
 sc as (select query_id, doc_id, sum(times * tf * idf * case when part = 'T' then 1.0 else .8 end) as s from jp join qg using (query_id) join tt using (doc_id, term) join df using (part, term) group by all)
 select query_id, doc_id, round(coalesce(s, 0), 6) as tf_idf_{n} from jp join dc using (doc_id) left join sc using (query_id, doc_id)"""
 
 
-def _tfidf(n: int):
-    def run(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-        docs, queries = A.documents(spark, d), A.text_queries(spark, d, whole).select("query_id", F.array_join("tokens", " ").alias("text"))
-        return rounded(T.tfidf_pair_score(docs, queries, T.gram_pairs(docs, queries, n) if whole else A.judged_pairs(spark, d), n))
+def _tfidf(n: int | tuple[int, ...]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs, queries = A.documents(spark, d), A.text_queries(spark, d)
+        pairs = T.term_pairs(T.tokenized(docs), queries, LONG)
+        return rounded(T.tfidf_pair_scores(docs, queries.select("query_id", F.array_join("tokens", " ").alias("text")), pairs, (n,) if isinstance(n, int) else n))
 
     return run
 
 
 for _n in T.SIZES:
     query(_tfidf_sql(_n), f"tfidf_pair_score_{_n}")(_tfidf(_n))
+query("select * from " + " join ".join(f"({_tfidf_sql(_n)}) t{_n}" + ("" if _n == T.SIZES[0] else " using (query_id, doc_id)") for _n in T.SIZES), "tfidf_pair_scores")(_tfidf(T.SIZES))
 
 
-def _bm25(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, queries = T.tokenized(A.documents(spark, d)), A.text_queries(spark, d, whole)
-    return docs, queries, T.term_pairs(docs, queries) if whole else A.judged_pairs(spark, d).select("query_id", "doc_id").distinct()
+def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, queries = cut_lineage(T.tokenized(A.documents(spark, d))), A.text_queries(spark, d)
+    return docs, queries, T.term_pairs(docs, queries, LONG)
 
 
 def _pairs_of(c: str) -> str:
@@ -129,32 +140,33 @@ BM25 = BM25.replace("{n}('body')", _times("body")).replace("{n}('title')", _time
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score from un where k = 'b'")
-def bm25_unigram(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d, whole)
+def bm25_unigram(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d)
     terms = T.query_terms(queries)
-    counts = T.term_counts(docs, terms)
+    counts = cut_lineage(T.term_counts(docs, terms))
     return rounded(T.unigram_score(pairs, queries, counts, T.log_icf(counts, terms), T.document_lengths(counts)))
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score from bi where k = 'b'")
-def bm25_bigram(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d, whole)
+def bm25_bigram(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d)
     terms = T.query_terms(queries)
     return rounded(T.bigram_score(pairs, queries, T.bigram_counts(docs, T.query_bigrams(queries)), T.log_icf(T.term_counts(docs, terms), terms)))
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score from ph")
-def bm25_phrase(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d, whole)
+def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d)
     terms = T.query_terms(queries)
-    return rounded(T.phrase_score(pairs, queries, docs, T.log_icf(T.term_counts(docs, terms), terms)))
+    counts = cut_lineage(T.term_counts(docs, terms))
+    return rounded(T.phrase_score(pairs, queries, docs, T.log_icf(counts, terms), counts=counts))
 
 
 @query(f"with {BM25}, ms as (select query_id, doc_id, count(*) filter (coalesce(tf, 0) <= 5) as m from jp join qt using (query_id) left join tc using (doc_id, term) where k = 'b' group by all) select query_id, doc_id, round(rare * pow(.03, m), 6) as score from ms join ra using (query_id)")
-def bm25_all_words(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d, whole)
+def bm25_all_words(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d)
     terms = T.query_terms(queries)
-    counts = T.term_counts(docs, terms)
+    counts = cut_lineage(T.term_counts(docs, terms))
     return rounded(T.all_words_score(pairs, queries, counts, T.log_icf(counts, terms)))
 
 
@@ -170,23 +182,23 @@ tl as (
 
 
 @query(f"with {BM25}, {_TOTAL} select query_id, doc_id, round(score, 6) as score from tl")
-def bm25_total(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(T.total_score(*_bm25(spark, d, whole)))
+def bm25_total(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(T.total_score(*_bm25(spark, d)))
 
 
 @query(f"with {BM25}, {_TOTAL} select query_id, doc_id, round(score, 6) as score from tl where round(score, 9) <> 0")
-def bm25_predictions(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs, queries, pairs = _bm25(spark, d, whole)
+def bm25_predictions(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, pairs = _bm25(spark, d)
     return rounded(T.predicted(pairs, T.total_score(docs, queries, pairs), docs))
 
 
-@query(f"with {BM25}, {_TOTAL}, rk as (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from tl) select query_id, rank::int as rank, doc_id, score from rk where rank <= 10")
-def topn_docs_per_query(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rounded(T.top_documents(T.total_score(*_bm25(spark, d, whole)).withColumn("score", F.round("score", 9))))
+@query(f"with {BM25}, {_TOTAL}, rk as (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from tl) select query_id, rank::int as rank, doc_id, score from rk where rank <= 10")
+def topn_docs_per_query(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(T.top_documents(T.total_score(*_bm25(spark, d)).withColumn("score", F.round("score", 6))))
 
 
 @query(f"with {BM25}, p as (select doc_id, unnest(body) as term, unnest(range(len(body))) as pos from tk) select doc_id, term, count(*) as n, min(pos)::int as first, max(pos)::int as last from p where term in (select term from vc) group by all")
-def forward_index(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    docs, queries, _ = _bm25(spark, d, whole)
+def forward_index(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, _ = _bm25(spark, d)
     f = T.forward_index(docs, T.query_terms(queries))
     return f.select("doc_id", "term", F.size("positions").cast("bigint").alias("n"), F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"))

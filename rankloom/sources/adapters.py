@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.operators.similarity import number_on
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files a core below which a table's rows are dealt out anew.
+SMALL = 4 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files are so few and small that the scan would leave most of them idle (one row group can't be
+    split); larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The click log (sid, query, geo, shown, clicked, ts): an order is a session, its lines the results, returned ones clicked."""
     lines, orders, customers = (load(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
@@ -25,52 +38,46 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(query_id, query): the log's queries numbered in order; without every fifth unless whole."""
+def query_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the log's queries numbered in order."""
     segment, priority = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
     q = load(spark, sf_dir, "lineitem").select("l_orderkey").distinct().join(priority, F.col("l_orderkey") == F.col("o_orderkey")).join(segment, F.col("o_custkey") == F.col("c_custkey"))
     q = q.select(F.concat_ws(" ", F.lower("c_mktsegment"), F.lower("o_orderpriority")).alias("query")).distinct()
-    q = q.select(F.row_number().over(Window.orderBy("query")).alias("query_id"), "query")  # some two dozen rows
-    return q if whole else q.where("query_id % 5 <> 0")
+    return number_on(q.select(F.lit(0).alias("query_id"), "query").limit(0), q, "query_id", "query")
 
 
-def url_dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(url_id, url): all parts if whole, else those of size 40 at most."""
-    parts = load(spark, sf_dir, "part")
-    return (parts if whole else parts.where("p_size <= 40")).select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".com")).alias("url"))
+def url_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url_id, url) of all parts."""
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".com")).alias("url"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, title, body): the title ends at the first line break or full stop; the body is the whole text."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^\n.]*", 0).alias("title"), F.col("text").alias("body"))
+def known_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the operators whose feature is to keep known queries: those whose priority is specified."""
+    return query_dictionary(spark, sf_dir).where("query not like '%not specified'")
 
 
-def text_queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(query_id, tokens, synonyms): of each benchmark item's words the first four, and the next two; all and none if whole."""
-    w = X.tokenize(F.col("text"))
-    if whole:
-        return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("tokens"), F.array().cast("array<string>").alias("synonyms"))
-    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(w, 1, 4).alias("tokens"), F.slice(w, 5, 2).alias("synonyms"))
+def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the operators whose feature is to keep known URLs: those of parts of other types than SMALL."""
+    return load(spark, sf_dir, "part").where("p_type <> 'SMALL'").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".com")).alias("url"))
 
 
-def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, mark) from labels: a document belongs to the benchmark item of its id modulo their number."""
-    items = load(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
-    return load(spark, sf_dir, "labels").crossJoin(items).select(F.pmod("doc_id", "n").alias("query_id"), "doc_id", F.col("quality").alias("mark"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, title, body): the title ends at the first line break or full stop; the body is the whole text."""
+    return dealt(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_extract("text", r"^[^\n.]*", 0).alias("title"), F.col("text").alias("body"))
 
 
-def click_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, url_id, mark) of query-URL pairs for the feature join: part and number of customers' orders give the key."""
-    parts, dictionary = load(spark, sf_dir, "part"), query_dictionary(spark, sf_dir, whole=True)
-    return parts.join(dictionary, F.pmod(F.col("p_partkey"), F.lit(7)) == F.pmod(F.col("query_id"), F.lit(7))).select("query_id", F.col("p_partkey").alias("url_id"), F.pmod("p_size", F.lit(3)).alias("mark"))
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, tokens, synonyms): every benchmark item's words, and once more those of more than seven letters."""
+    w = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.tokenize(F.col("text")).alias("tokens"))
+    return w.select("query_id", "tokens", F.filter("tokens", lambda x: F.char_length(x) > 7).alias("synonyms"))
 
 
 def log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, url_id, mark) of every query-URL pair that the log shows or has clicked, once; marks as in click_pairs."""
-    queries, urls = query_dictionary(spark, sf_dir, whole=True), url_dictionary(spark, sf_dir, whole=True)
+    """(query_id, url_id, mark) of every query-URL pair that the log shows or has clicked, once."""
+    queries, urls = query_dictionary(spark, sf_dir), url_dictionary(spark, sf_dir)
     marks = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("url_id"), F.pmod("p_size", F.lit(3)).alias("mark"))
     found = sessions(spark, sf_dir).select("query", F.explode(F.concat("shown", "clicked")).alias("url")).distinct()
-    return found.join(F.broadcast(queries), "query").join(urls, "url").join(marks, "url_id").select("query_id", "url_id", "mark")
+    return found.join(queries, "query").join(urls, "url").join(marks, "url_id").select("query_id", "url_id", "mark")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

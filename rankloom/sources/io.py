@@ -55,13 +55,14 @@ def log_lines(log: DataFrame) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str, is_query: bool, normalise: bool = True) -> DataFrame:
-    """(id, name) of lines 'id TAB name', the name normalised as queries or URLs are; of one name's ids the largest stands."""
+    """(id, name) of lines 'id TAB name', the name normalised as queries or URLs are; of one name's ids that of the last line stands, in order of file name."""
     f = F.split("value", "\t")
     name = F.try_element_at(f, F.lit(2))
     if normalise:
         name = X.prepare_query(name) if is_query else X.prepare_url(name)
-    rows = read_lines(spark, path).select(F.try_element_at(f, F.lit(1)).try_cast("int").alias("id"), name.alias("name"))
-    return rows.where("id is not null and name is not null").groupBy("name").agg(F.max("id").alias("id")).select("id", "name")
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = read_lines(spark, path).select(F.try_element_at(f, F.lit(1)).try_cast("int").alias("id"), name.alias("name"), line.alias("line"))
+    return rows.where("id is not null and name is not null").groupBy("name").agg(F.max_by("id", "line").alias("id")).select("id", "name")
 
 
 def read_train_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -116,6 +117,14 @@ def write_groups(groups: dict[str, DataFrame], path: str, compression: str | Non
         write_lines(df, f"{path}/{name}", compression)
 
 
+def write_feature_names(features: dict[str, DataFrame], path: str, keys: tuple[str, ...] = ("query", "url", "query_id", "url_id", "mark")) -> None:
+    """The names of each grain's features, one a line in order of columns, in the folder FeatureNames/<grain>."""
+    for name, df in features.items():
+        names = [c for c in df.columns if c not in keys]
+        rows = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, value string")
+        write_lines(rows.coalesce(1).sortWithinPartitions("i").select("value"), f"{path}/FeatureNames/{name}", single=True)
+
+
 def write_table(df: DataFrame, path: str, header: bool = False, sep: str = "\t") -> None:
     df.write.mode("overwrite").csv(path, header=header, sep=sep)
 

@@ -2,6 +2,7 @@
 
 import base64
 import math
+import os
 import zlib
 
 import pytest
@@ -58,7 +59,7 @@ def test_grams_and_words(spark):
 
 
 def test_inflate_and_links(spark, tmp_path):
-    html = '<a href="http://www.a.com/x">é</a> <img src="http://a.com/i.png"> http://b.org/y.'
+    html = '<a href="http://www.a.com/x">é</a> <img src="http://a.com/i.png"> http://b.org/y'
     good = base64.b64encode(zlib.compress(html.encode())).decode()
     (tmp_path / "pages.tsv").write_text(f"1\t{good}\n2\tbroken!!\n3\taGk=\n")
     pages = io.read_pages(spark, str(tmp_path / "pages.tsv"))
@@ -196,3 +197,53 @@ def test_files(spark, tmp_path):
     counted, seen = io.counted(ranked, "n", rows=F.count("*"))
     counted.collect()
     assert seen.get["rows"] == 3
+
+
+def test_links_with_and_without_scheme(spark):
+    html = '<a href="http://a.com/x?y=1&z">A</a> see www.b.org/p, or (WWW.C.net) not xwww.d.org; ftps://e.f/ HTTPS://g.h\nwww.i.j. k.com http://nodot é www.l.m'
+    got = spark.createDataFrame([(html,), (None,), ("",), ("www.a.b",)], "html string").select(X.extract_urls(F.col("html"))).collect()
+    assert got[0][0] == ["http://a.com/x?y=1&z", "www.b.org/p,", "WWW.C.net)", "ftps://e.f/", "HTTPS://g.h", "www.i.j.", "www.l.m"]
+    assert [r[0] for r in got[1:]] == [None, [], ["www.a.b"]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_the_tables_hold_links(spark):
+    from rankloom import plans
+
+    assert plans.QUERIES["page_links"](spark, "/root/testdata/sf0.001").count() > 0
+    assert plans.QUERIES["unique_links"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_grams_of_long_texts_take_time_in_proportion(spark):
+    import time
+
+    df = spark.createDataFrame([(" ".join(f"w{i % 997}" for i in range(20_000)),)], "t string")
+    began = time.perf_counter()
+    for kind in ("plain", "reversed", "gap"):
+        assert df.select(F.size(X.word_ngrams(X.tokenize(F.col("t")), 3, kind))).first()[0] == 20_000 - (3 if kind == "gap" else 2)
+    assert df.select(F.size(X.char_ngrams_tail(F.col("t"), 5))).first()[0] > 90_000
+    assert df.select(X.phrase_count(X.tokenize(F.lit("w5 w6")), X.tokenize(F.col("t")))).first()[0] == 21
+    assert time.perf_counter() - began < 15
+
+
+def test_dictionary_takes_the_last_line_and_feature_names_are_written(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.tsv").write_text("9\tfoo\n8\tbar\n7\tfoo\n")
+    (tmp_path / "d" / "b.tsv").write_text("3\tbar\n")
+    assert {(r.id, r.name) for r in io.read_dictionary(spark, str(tmp_path / "d"), True).collect()} == {(7, "foo"), (3, "bar")}
+    qd = spark.createDataFrame([("q", "u", 1.0, 2.0)], "query string, url string, b double, a double")
+    io.write_feature_names({"QD": qd, "URL": qd.drop("query", "b")}, str(tmp_path / "o"))
+    assert [r.value for r in io.read_lines(spark, str(tmp_path / "o" / "FeatureNames" / "QD")).collect()] == ["b", "a"]
+    assert [r.value for r in io.read_lines(spark, str(tmp_path / "o" / "FeatureNames" / "URL")).collect()] == ["a"]
+
+
+def test_profiles_of_known_sessions_and_sorted_vocabulary(spark):
+    from rankloom.operators import similarity as S
+
+    log = spark.createDataFrame([("a", ["x"], []), ("b", ["x", "y"], ["y"]), ("c", ["z"], ["z"]), ("b", ["w"], [])], "query string, shown array<string>, clicked array<string>")
+    queries, urls = spark.createDataFrame([("a",)], "query string"), spark.createDataFrame([("y",)], "url string")
+    for compat in (False, True):
+        got = {r["query"]: (r.shown, r.clicked) for r in S.known_profiles(log, queries, urls, compat).collect()}
+        assert got == {"a": (["x"], []), "b": (["x", "y"], ["y"])}
+    words = spark.createDataFrame([("b c",), ("a b",)], "query string")
+    assert [r.word for r in S.vocabulary(words).collect()] == ["a", "b", "c"]
