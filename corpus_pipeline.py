@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import langid, packing, pii, quality, simhash
-from rankloom.llm.common import ensure_checkpoint_dir, table
+from rankloom.llm.common import documents, ensure_checkpoint_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the least doc_id. Columns beside those of documents pass through all stages but the last, whatever their names. An empty
     table gives an empty result.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     at = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")

@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files a core below which a table's rows are dealt out anew.
+SMALL = 4 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores if their files are so few and small that the scan would leave most of them idle (one row
+    group can't be split); larger tables stay as they are."""
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session's spark.checkpoint.dir. Where that is unset, a temporary one on a single machine
     (tests); on a cluster no folder of one machine would do, so it must be set there."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import bpe, chat, langid, mtree, packing, pii, quality, simhash, tokens, urls
-from rankloom.llm.common import table
+from rankloom.llm.common import documents, table
 
 #: Rules of op7_url_filter: (entry, action). An entry is a host, perhaps with a path; it covers the host's subdomains and the path's descendants.
 URL_RULES = [
@@ -18,28 +18,28 @@ URL_RULES = [
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"))
+    return tokens.token_counts(documents(spark, sf_dir))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.duplicates(table(spark, sf_dir, "documents"))
+    return simhash.duplicates(documents(spark, sf_dir))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.tokenize(table(spark, sf_dir, "documents"))
+    return bpe.tokenize(documents(spark, sf_dir))
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(table(spark, sf_dir, "documents"))
+    return pii.detect(documents(spark, sf_dir))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
