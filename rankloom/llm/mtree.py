@@ -45,8 +45,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def build(ids: np.ndarray, x: np.ndarray, page: int = PAGE) -> dict[str, np.ndarray]:
     """A subtree: its routing object (the medoid of a few) and radius, and pages of near vectors in contiguous rows.
 
-    Pages come from halving: the rows are parted at the median of the difference of their distances to two far objects, and
-    so on down to the page size. Any vectors, equal ones too, end in pages of at most `page`.
+    Pages come from parting the rows by which of two far objects is nearer, or if that leaves next to nothing on one side into
+    halves along the line between them, and so on down to the page size. Any vectors, equal ones too, end in pages of at most
+    `page`.
     """
     order, todo = [], [np.arange(len(ids))]
     while todo:
@@ -56,9 +57,13 @@ def build(ids: np.ndarray, x: np.ndarray, page: int = PAGE) -> dict[str, np.ndar
             continue
         far = int(np.argmax(((x[rows] - x[rows[0]]) ** 2).sum(1)))
         other = int(np.argmax(((x[rows] - x[rows[far]]) ** 2).sum(1)))
-        side = np.lexsort((ids[rows], np.round(x[rows] @ (x[rows[other]] - x[rows[far]]), 9)))
-        half = -(-len(rows) // (2 * page)) * page
-        todo += [rows[side[half:]], rows[side[:half]]]
+        a, b = x[rows[far]], x[rows[other]]
+        along = np.round(x[rows] @ (b - a) - (b @ b - a @ a) / 2, 9)  # above 0: nearer to b
+        side = np.lexsort((ids[rows], along))
+        at = int((along <= 0).sum())
+        if min(at, len(rows) - at) * 8 < len(rows):  # too uneven: halves, in whole pages
+            at = -(-len(rows) // (2 * page)) * page
+        todo += [rows[side[at:]], rows[side[:at]]]
     bounds = np.cumsum([0, *map(len, order)])
     rows = np.concatenate(order)
     ids, x = ids[rows], x[rows]
