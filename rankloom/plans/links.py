@@ -71,7 +71,7 @@ def link_adjacency_counts(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(A.graph_edges(spark, d))
 
 
-@query(f"with {EDGES} select count(*) as n_nodes, count(*) filter (n_out = 0) as end_nodes, count(*) filter (n_in = 0) as no_in_nodes, 0::bigint as isolated_nodes from dg")
+@query(f"with {EDGES} select count(*) as n_nodes, count(*) filter (n_out = 0) as end_nodes, count(*) filter (n_in = 0) as no_in_nodes, count(*) filter (id not in (select src from e where src <> dst union select dst from e where src <> dst)) as isolated_nodes from dg")
 def graph_counters(spark: SparkSession, d: str) -> DataFrame:
     return G.graph_counters(A.graph_edges(spark, d))
 
