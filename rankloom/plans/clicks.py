@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import clicklog as C
 from rankloom.operators import similarity as S
+from rankloom.operators.lineage import cut_lineage
 from rankloom.plans.common import BASE, CTR, KNOWN, rounded, sql_rounded
 from rankloom.sources import adapters as A
 
@@ -141,7 +142,7 @@ def url_mean_positions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {BASE}, {_RANK_SQL}, {_URL} select url, {sql_rounded(C.URL_FEATURES[:11])}, click_count::bigint as click_count, shows_count::bigint as shows_count, round(mean_click_pos, 6) as mean_click_pos, round(mean_show_pos, 6) as mean_show_pos from rc join uf using (url)")
 def features_url(spark: SparkSession, d: str) -> DataFrame:
     log, _, urls = _in(spark, d)
-    return rounded(C.features_url(log, urls))
+    return rounded(C.features_url(cut_lineage(log), urls))
 
 
 _QD = """
@@ -156,7 +157,8 @@ qf2 as (select *, (a_n + .1) / (a_d + .2) as a_u, (s_n + .1) / (s_d + .2) as s_u
 
 @query(f"with {BASE}, {CTR}, {_QD} select query, url, round(qdoc_ctr, 6) as qdoc_ctr, a_n, a_d, s_n, s_d, round(a_u, 6) as a_u, round(s_u, 6) as s_u, round(r_u, 6) as r_u from qf2")
 def features_qd(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.features_qd(*_in(spark, d)))
+    log, queries, urls = _in(spark, d)
+    return rounded(C.features_qd(cut_lineage(log), queries, urls))  # the log is read by every part, and made once
 
 
 _FLAT = "array_to_string(shown, ',') as shown, array_to_string(clicked, ',') as clicked"

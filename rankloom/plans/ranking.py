@@ -43,7 +43,7 @@ SOME = f"with {KNOWN}, {CTR}, {_BODY}"
 
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
-    log, queries, urls = A.sessions(spark, d), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
+    log, queries, urls = cut_lineage(A.sessions(spark, d)), A.query_dictionary(spark, d), A.url_dictionary(spark, d)
     pairs = A.log_pairs(spark, d)
     qd = L.prefixed(L.to_ids(C.qdoc_ctr(log, queries, urls).select("query", "url", "qdoc_ctr"), queries, urls), "qd", L.KEYS)
     url = L.prefixed(L.to_ids(C.url_positions(log, urls).select("url", "click_count", "shows_count"), None, urls), "url", L.KEYS)
