@@ -6,15 +6,18 @@ lie within it (triangle inequality) and is discarded; survivors are verified by
 fingerprints of the data, drawn one after another so that each discards most of what the others leave of a sample of pairs.
 
 In 128 bits unrelated fingerprints stand some 60 bits from each other and from every pivot, so pivots alone would leave most
-of all pairs; which pairs are looked at is decided by tables keyed by sampled bits. Their number follows from the number of
-fingerprints so that a pair at the radius meets in some table with a chance of at least RECALL; nothing caps how many pairs
-are looked at. Documents joined by a chain of verified pairs form a group.
+of all pairs; which pairs are looked at first is decided by tables keyed by sampled bits. Their number follows from the number
+of fingerprints so that a pair at the radius meets in some table with a chance of at least RECALL. A second search finds what
+the first one left: the bits are parted into blocks such that a pair within the radius differs in FLIPS bits of some block at
+most (pigeonhole), and every pair that does so is looked at, unless the first search has joined it. So every pair within the
+radius is joined; nothing caps how many pairs are looked at. Documents joined by a chain of verified pairs form a group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,13 @@ PIVOTS = 16
 SAMPLE = 20_000
 #: Fingerprints of one key and table that a task holds, about: a crowded key is spread over tasks.
 CROWD = 200_000
+#: Differing bits of a block that the second search tries, at most. It changes work, not results.
+FLIPS = 2
+#: Fingerprints of one cell (the first bits of a block) that a task of the second search holds, about; more are dealt out to
+#: chunks, every two of which meet.
+CELL = 1 << 20
+#: Pairs that the second search compares in one step.
+AT_ONCE = 1 << 19
 #: Up to this many fingerprints of one key, all their pairs are listed at once; larger sets are searched breadth first.
 LISTED = 48
 
@@ -240,12 +250,202 @@ def crowded(sample: np.ndarray, n: int, positions: np.ndarray, radius: int) -> t
     return np.array(names, dtype=np.uint64)[order], np.array(parts, dtype=np.int64)[order], [leaders[i] for i in order]
 
 
+def blocks(radius: int = RADIUS) -> list[tuple[np.ndarray, int]]:
+    """(bit positions, flips) of parts of a fingerprint such that any two within the radius differ in at most `flips` bits of
+    some part: the sum of flips + 1 is radius + 1, which a pair with more differing bits in every part would reach."""
+    whole, rest = divmod(radius + 1, FLIPS + 1)
+    flips = [FLIPS] * whole + [rest - 1] * (rest > 0)
+    return [(p[:20], f) for p, f in zip(np.array_split(np.arange(BITS), len(flips)), flips)]  # fewer bits of a part differ in no more
+
+
+def block_keys(fps: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """The bits at the positions as a number, the first one the highest."""
+    spread = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 16), axis=1)
+    out = np.zeros(len(fps), np.int64)
+    for p in positions:
+        out = out << 1 | spread[:, p]
+    return out
+
+
+class _Joined:
+    """Pairs of labels, thinned out to those that join something new whenever many have come."""
+
+    def __init__(self, labels: int) -> None:
+        self.root = np.arange(labels)
+        self.a = self.b = self.root[:0]
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        new = self.root[a] != self.root[b]
+        if new.any():
+            self.new.append((a[new], b[new]))
+            self.waiting += len(self.new[-1][0])
+            if self.waiting > max(1 << 16, len(self.a)):
+                self.pairs()
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            self.a, self.b = forest(*(np.concatenate((old, *more)) for old, more in zip((self.a, self.b), zip(*self.new))))
+            self.root[self.b] = self.a
+            self.new, self.waiting = [], 0
+        return self.a, self.b
+
+
+def _all_pairs(stored: tuple, probes: tuple, same: bool, radius: int, joined: _Joined) -> None:
+    (x, y, label), (u, v, other) = stored, probes
+    for i in range(0, len(u), 64):
+        for j in range(i if same else 0, len(x), 8192):
+            d = np.bitwise_count(u[i : i + 64, None] ^ x[j : j + 8192]) + np.bitwise_count(v[i : i + 64, None] ^ y[j : j + 8192])
+            q, s = np.nonzero(d <= radius)
+            joined.add(other[i + q], label[j + s])
+
+
+def _by_block(stored: tuple, probes: tuple, same: bool, bits: int, flips: int, radius: int, joined: _Joined) -> None:
+    """Joins the labels of stored rows and probes (key, two words, label) within the radius whose keys of so many bits differ in
+    `flips` bits at most; if same, the probes are the stored rows and each pair is looked at once."""
+    if not len(stored[0]) or not len(probes[0]):
+        return
+    order = np.argsort(stored[0], kind="stable")
+    key, x, y, label = (c[order] for c in stored)
+    probe, u, v, other = (key, x, y, label) if same else (c[np.argsort(probes[0], kind="stable")] for c in probes)
+    start = np.concatenate(([0], np.cumsum(np.bincount(key, minlength=1 << bits))))
+    masks = [sum(1 << p for p in c) for f in range(flips + 1) for c in combinations(range(bits), f)]
+    some = probe[:: -(-len(probe) // 1000)]
+    if sum(int((start[(some ^ m) + 1] - start[some ^ m]).sum()) for m in masks) * 4 > len(some) * len(key):  # comparing all costs less
+        return _all_pairs((x, y, label), (u, v, other), same, radius, joined)
+    everything = np.arange(len(probe))
+    unset = [np.flatnonzero(probe >> p & 1 == 0) for p in range(bits)] if same else []
+    for m in masks:
+        rows = unset[m.bit_length() - 1] if same and m else everything
+        to = probe[rows] ^ m
+        lo = rows + 1 if same and not m else start[to]
+        number = start[to + 1] - lo
+        some = np.flatnonzero(number > 0)
+        rows, lo, number = rows[some], lo[some], number[some]
+        end = np.cumsum(number)
+        at = 0
+        while at < len(rows):
+            done = end[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(end, done + AT_ONCE, side="right")))
+            count = number[at:upto]
+            q = np.repeat(rows[at:upto], count)
+            s = np.arange(end[upto - 1] - done) + np.repeat(lo[at:upto] - (end[at:upto] - count - done), count)
+            d = np.bitwise_count(u[q] ^ x[s])
+            maybe = np.flatnonzero(d <= radius)
+            q, s, d = q[maybe], s[maybe], d[maybe]
+            near = d + np.bitwise_count(v[q] ^ y[s]) <= radius
+            joined.add(other[q[near]], label[s[near]])
+            at = upto
+
+
+def links(stored: tuple[np.ndarray, np.ndarray, np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndarray] | None, bits: int, flips: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that connect what all pairs of a stored row and a probe (key, fingerprint, label), or of two stored rows,
+    connect whose keys differ in `flips` bits at most and whose fingerprints lie within the radius.
+
+    Rows with the same label are connected already. Those of a label that holds a great part of the rows are never compared
+    with each other, however near they are.
+    """
+    same, probes = probes is None, stored if probes is None else probes
+    names, index = np.unique(np.concatenate((stored[2], probes[2])), return_inverse=True)
+    size = np.bincount(index, minlength=len(names))
+    great = np.flatnonzero(size >= max(256, len(index) // 64))
+    group = np.zeros(len(names), np.int64)
+    group[great] = np.arange(1, len(great) + 1)
+    joined = _Joined(len(names))
+
+    def columns(rows: tuple, label: np.ndarray) -> tuple:
+        return rows[0], np.ascontiguousarray(rows[1][:, 0]), np.ascontiguousarray(rows[1][:, 1]), label
+
+    left, right = columns(stored, index[: len(stored[0])]), columns(probes, index[len(stored[0]) :])
+    of_left, of_right = group[left[3]], group[right[3]]
+    take = lambda rows, mask: tuple(c[mask] for c in rows)
+    for g in range(len(great) + 1):
+        now = take(right, of_right == g)
+        if same:
+            if g == 0:
+                _by_block(now, now, True, bits, flips, radius, joined)
+            _by_block(take(left, of_left > g), now, False, bits, flips, radius, joined)
+        else:
+            _by_block(take(left, of_left != g) if g else left, now, False, bits, flips, radius, joined)
+    a, b = joined.pairs()
+    return names[a], names[b]
+
+
+def missed(labelled: DataFrame, n: int, sample: np.ndarray, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of labels that connect what all pairs within the radius connect, of n rows (node, hi, lo, label).
+
+    Rows of one block and cell, its first bits, go together; cells that differ in more bits than the block's flips needn't meet.
+    A cell that holds more than CELL rows, judged by the sample, is dealt out to chunks by hash; every two chunks whose cells
+    may hold a pair meet in a task. How many cells and chunks there are changes work, not results.
+    """
+    first = max(int(n > CELL >> 5), math.ceil(math.log2(max(n, 1) / CELL)) if n else 0)
+    parts: list[tuple] = []  # (positions, bits after the cell's, chunks of each cell, number of its first, tasks and sides of each chunk)
+    tasks: list[tuple[int, int, bool]] = []  # (block, flips left after the cells', a chunk with itself)
+    for b, (positions, flips) in enumerate(blocks(radius)):
+        head = min(first, len(positions))
+        tail = len(positions) - head
+        share = np.bincount(block_keys(sample, positions) >> tail, minlength=1 << head) * (n / max(len(sample), 1))
+        chunks = np.maximum(1, np.ceil(share / CELL).astype(np.int64))
+        cell = np.repeat(np.arange(1 << head), chunks)
+        meets: list[list[tuple[int, int]]] = [[] for _ in cell]
+        for i in range(len(cell)):
+            for j in (i + np.flatnonzero(np.bitwise_count(cell[i:] ^ cell[i]) <= flips)).tolist():
+                meets[i].append((len(tasks), 0))
+                if j != i:
+                    meets[j].append((len(tasks), 1))
+                tasks.append((b, flips - int(cell[i] ^ cell[j]).bit_count(), i == j))
+        parts.append((positions, tail, chunks, np.cumsum(chunks) - chunks, meets))
+    copies = sum(np.mean([len(m) for m in meets]) for *_, meets in parts)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, hi, lo, label = (batch.column(k).to_numpy() for k in ("node", "hi", "lo", "label"))
+            packed = np.stack([hi, lo, label], 1)
+            fps = np.ascontiguousarray(packed[:, :2]).view(np.uint64)
+            task, side, data = [], [], []
+            for positions, tail, chunks, start, meets in parts:
+                cell = block_keys(fps, positions) >> tail
+                chunk = start[cell] + (node.view(np.uint64) % chunks[cell].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(chunk, kind="stable")
+                at = np.searchsorted(chunk[order], np.arange(len(meets) + 1))
+                for c in np.flatnonzero(np.diff(at)).tolist():
+                    rows = packed[order[at[c] : at[c + 1]]].tobytes()
+                    for t, k in meets[c]:
+                        task.append(t), side.append(k), data.append(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(side, pa.int32()), pa.array(data, pa.binary())], ["task", "side", "data"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in batches:
+            for t, k, data in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "data"))):
+                held.setdefault(t, ([], []))[k].append(data)
+        for t in list(held):
+            b, flips, same = tasks[t]
+            positions, tail = parts[b][:2]
+            sides = []
+            for blobs in held.pop(t):
+                rows = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3)
+                fps = np.ascontiguousarray(rows[:, :2]).view(np.uint64)
+                sides.append((block_keys(fps, positions) & ((1 << tail) - 1), fps, rows[:, 2]))
+            a, c = links(sides[0], None if same else sides[1], tail, flips, radius)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
+    where = max(_partitions(labelled, int(n * copies), 24), min(2 * len(tasks), 8 * labelled.sparkSession.sparkContext.defaultParallelism))
+    blobs = labelled.select("node", "hi", "lo", "label").mapInArrow(spread, "task int, side int, data binary")
+    return blobs.repartition(where, "task").mapInArrow(match, _EDGE)
+
+
 def fingerprint_groups(distinct: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """(node, root) over fingerprints (node, hi, lo), all distinct: groups of those that chains of near pairs connect.
 
     A fingerprint and its pivot distances go to one task for each table, packed into blobs of one table and task; the key is
     made again from the fingerprint there. A key that very many fingerprints share is spread over tasks by hash; within each
-    part all is searched, and its leaders are in every part.
+    part all is searched, and its leaders are in every part. What no table and part has brought together is then searched by
+    blocks, so that every pair within the radius is joined whatever the recall, which only says how much is left to that.
     """
     n = distinct.count()
     bits, tables = plan(n, radius, recall)
@@ -303,13 +503,20 @@ def fingerprint_groups(distinct: DataFrame, radius: int = RADIUS, recall: float
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
     blobs = distinct.select("node", "hi", "lo").mapInArrow(spread, "task bigint, t int, data binary")
-    return components(blobs.repartition(tables * each, "task").select("t", "data").mapInArrow(match, _EDGE))
+    near = components(blobs.repartition(tables * each, "task").select("t", "data").mapInArrow(match, _EDGE))
+    labelled = distinct.join(near, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    more = cut(missed(labelled, n, sample, radius))
+    if more.isEmpty():
+        return near
+    wider = components(more)
+    over = wider.select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return near.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).unionByName(wider)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """(doc_id, hash, rows, keeper, keeper_hash, size, keep) for each distinct (doc_id, text) whose text isn't empty.
 
-    hash is the text's xxhash64. Texts with the same set of words have one fingerprint; fingerprints within the radius are
+    hash is the text's xxhash64. Texts with the same set of words have one fingerprint; all fingerprints within the radius are
     joined, by chains. Texts without letters and digits are joined if they are equal. A group keeps the row of least
     (doc_id, hash), its keeper, a null doc_id last. rows counts identical repeats, of which one stays; size is the number of
     rows in the group. Null and empty texts are no one's duplicate and don't appear.

@@ -307,6 +307,105 @@ def test_crowded_keys_are_spread_and_lose_no_group(spark, monkeypatch):
     assert len(set(zip(of.tolist(), label.tolist()))) == len(set(label.tolist()))
 
 
+def flipped(r, fps, number):
+    """fps with so many of their bits changed, others in each row."""
+    out = fps.copy()
+    for row, n in zip(out, np.broadcast_to(number, len(fps))):
+        for bit in r.permutation(128)[:n].tolist():
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def roots(spark, fps, **kw):
+    df = spark.createDataFrame([(int(n), int(h), int(lo)) for n, (h, lo) in zip(simhash.nodes(fps), fps.view(np.int64))], "node bigint, hi bigint, lo bigint")
+    found = simhash.fingerprint_groups(df, **kw).collect()
+    root = {x.node: x.root for x in found}
+    assert len(root) == len(found)
+    return [root.get(n, n) for n in simhash.nodes(fps).tolist()]
+
+
+def test_no_pair_at_the_radius_is_left_out(spark):
+    r = np.random.default_rng(21)
+    base = r.integers(0, 2**64, (700, 2), dtype=np.uint64)
+    fps = np.concatenate((base, flipped(r, base[:400], simhash.RADIUS), flipped(r, base[400:], simhash.RADIUS + 1)))
+    of = roots(spark, fps)
+    assert of[:400] == of[700:1100] and len(set(of)) == 1000
+
+
+@pytest.mark.parametrize("radius", [1, 20, 40])
+def test_groups_are_those_of_all_pairs_whatever_the_cells(spark, monkeypatch, radius):
+    """Balls, chains, pairs and keys that all share, with cells and chunks of a few rows."""
+    r = np.random.default_rng(22)
+    center, apart = r.integers(0, 2**64, (4, 2), dtype=np.uint64), r.integers(0, 2**64, (100, 2), dtype=np.uint64)
+    chain = [flipped(r, center[3:], 0)]
+    for _ in range(30):
+        chain.append(flipped(r, chain[-1], radius))
+    alike = flipped(r, np.repeat(center[2:3], 150, axis=0), 60)
+    alike[:, 0] = center[2, 0]
+    fps = np.unique(np.concatenate((flipped(r, np.repeat(center[:1], 150, axis=0), radius // 2), flipped(r, np.repeat(center[1:2], 150, axis=0), r.integers(0, 20, 150)), alike, apart, flipped(r, apart, radius), *chain)), axis=0)
+    near = simhash.hamming(fps[:, None], fps[None]) <= radius
+    label = np.arange(len(fps))
+    while ((new := np.where(near, label[None], len(fps)).min(1)) != label).any():
+        label = new
+    for cell, crowd in ((1 << 20, 200_000), (40, 60)):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        of = roots(spark, fps, radius=radius)
+        assert len(set(zip(of, label.tolist()))) == len(set(of)) == len(set(label.tolist()))
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_links_against_all_pairs(both):
+    """Rows of one side or of two, with labels that hold many of them and, of 6 bits a key, more pairs than are worth looking up."""
+    r = np.random.default_rng(23)
+    base = r.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    of = np.concatenate((np.zeros(400, np.int64), np.ones(300, np.int64), r.integers(2, 40, 500)))
+    fps = flipped(r, base[of], r.integers(4, 16, len(of)))
+    label = np.where(of < 2, of, 100 + np.arange(len(of)) // 2) * 10  # the first two are known to belong together
+    side = r.random(len(of)) < (0.5 if both else 1)
+    near = simhash.hamming(fps[:, None], fps[None]) <= simhash.RADIUS
+    for bits in (6, 18):
+        key = simhash.block_keys(fps, np.arange(128)[:bits])
+        want = near & (np.bitwise_count(key[:, None] ^ key[None]) <= 2) & (label[:, None] != label[None]) & (side[:, None] & (~side[None] if both else True))
+        rows = lambda m: (key[m], fps[m], label[m])  # noqa: E731, B023
+        a, b = simhash.links(rows(side), rows(~side) if both else None, bits, 2)
+        i, j = np.nonzero(want)
+        assert len(i) > 500
+
+        def joined(x, y):
+            low, node = simhash.forest(x, y)
+            return set(zip(low.tolist(), node.tolist()))
+
+        assert joined(a, b) == joined(label[i], label[j])
+
+
+def test_blocks_leave_no_pair_within_the_radius():
+    for radius in (*range(30), 64, 127):
+        parts = simhash.blocks(radius)
+        assert sum(f + 1 for _, f in parts) == radius + 1 and len(np.unique(np.concatenate([p for p, _ in parts]))) == sum(len(p) for p, _ in parts)
+
+
+def test_duplicates_query_finds_every_pair_of_texts_within_the_radius(spark, tmp_path):
+    from rankloom.llm import queries
+
+    rows, fps = near_texts()
+    docs(spark, [(i, t, "en") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    label, near = brute_groups(fps)
+    distance = simhash.hamming(fps[near[:, 0]], fps[near[:, 1]])
+    assert (distance >= 18).sum() > 150
+    got = {r.doc_id: r.duplicate_of for r in queries.op3_simhash_dedup(spark, str(tmp_path)).collect()}
+    assert [got.get(i, i) for i, _ in rows] == label.tolist()
+
+
+def near_texts():
+    """(rows (id, text), fingerprints): English texts, and after them one for each with about a seventh of its words replaced."""
+    rows = []
+    for i in range(700):
+        rows.append(f"{prose('en', 40, i)} " + " ".join(f"w{i}x{k}" for k in range(80)))
+    rows += [re.sub(r"x(\d\b|1[0-4]\b)", lambda m: f"y{m[1]}", t) for t in rows]
+    return list(enumerate(rows)), simhash.fingerprint(pa.array(rows))[0]
+
+
 def test_texts_without_words_are_copies_only_of_equal_ones(spark):
     rows = [(1, "*** --- ***", "en"), (2, "*** --- ***", "en"), (3, "*** -- ***", "en"), (4, "***", "en"), (5, "\n", "en"), (6, "\n", "en"), (7, "", "en"), (8, "", "en"), (9, None, "en"), (10, None, "en")]
     d = docs(spark, rows)
