@@ -269,6 +269,22 @@ def test_pipeline_odd(spark, tmp_path):
     assert not [x for x in os.listdir(shared) if x.startswith("pipeline-")]
 
 
+def test_pipeline_keeps_no_two_texts_within_the_radius(spark, tmp_path):
+    """Its near-duplicate stage against all pairs of fingerprints; what the whole pipeline keeps is a part of that."""
+    import corpus_pipeline as P
+    from tests.llm.test_documents import brute_groups, docs, near_texts
+
+    rows, fps = near_texts()
+    d = docs(spark, [(i, t, "en") for i, t in rows])
+    label, near = brute_groups(fps)
+    assert len(near) > 150
+    assert sorted(r.doc_id for r in P.near_dedup(spark, d, "").collect()) == sorted(set(label.tolist()))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in P.run(spark, str(tmp_path)).collect()}
+    assert len(kept) > 400 and not [1 for i, j in near.tolist() if i in kept and j in kept]
+
+
 def test_all_ten_are_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
