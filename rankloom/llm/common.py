@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; bounds numpy temporaries, never what is read.
 SLICE_BYTES = 2 << 20
+#: Bytes of words that are hashed in one step, a whole word at least: each takes some 40 bytes meanwhile.
+HASHED_BYTES = 1 << 17
 
 _ASCII = np.arange(128)
 WORD_BYTE = np.ones(256, dtype=bool)
@@ -75,19 +78,34 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory that Arrow and the C library keep to the system: a worker lives through many stages, and what it
+    keeps of one is lost to the others and to the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def runs(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` together, one entry at least; they cover every entry."""
+    end = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes, one row at least; together they cover every row."""
     n = len(texts)
     if not n:
         return
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    end = np.cumsum(size)
-    lo = 0
-    while lo < n:
-        done = end[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(end, done + limit, side="right")))
-        yield lo, hi
-        lo = hi
+    yield from runs(size, limit)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +165,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
-    length = ends - starts
-    at = np.flatnonzero(inside)
-    within = at - np.repeat(starts, length)
-    value = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[within]
-    hashed = mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1]))) + length.astype(np.uint64))
+    hashed = np.concatenate([_hashes(data, starts[lo:hi], ends[lo:hi]) for lo, hi in runs(ends - starts, HASHED_BYTES)])
     doc = np.searchsorted(offsets, starts, side="right") - 1
     return doc, starts, ends, hashed
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    length = ends - starts
+    first = np.cumsum(length) - length
+    within = np.arange(int(length.sum())) - np.repeat(first, length)
+    value = data[within + np.repeat(starts, length)].astype(np.uint64)
+    value += np.uint64(1)
+    value *= powers(int(length.max()))[within]
+    return mix(np.add.reduceat(value, first) + length.astype(np.uint64))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut
+from rankloom.llm.common import cut, give_back
 
 KINDS = ("email", "phone", "ip", "card", "national_id", "iban", "secret")
 LABELERS = ("regex", "check", "gazetteer", "context")
@@ -322,7 +322,9 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_redacted(t.as_py(), codes) for t in texts], pa.string())
+        out = pa.array([_redacted(t.as_py(), codes) for t in texts], pa.string())
+        give_back()
+        return out
 
     out = docs.withColumn("text", run.asNondeterministic()(F.col("text")))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

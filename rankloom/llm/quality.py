@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, mix, segment_sum, slices, unused, utf8, words
+from rankloom.llm.common import cut, give_back, mix, segment_sum, slices, unused, utf8, words
 
 #: Statistic -> sign of its monotonic constraint on the score (0: none).
 FEATURES = {
@@ -168,6 +168,7 @@ def _features(text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
         x = statistics(texts)
+        give_back()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
     return run.asNondeterministic()(text)
@@ -198,6 +199,7 @@ def score(text: Column, model: Trees) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         p = model.probability(statistics(texts))
+        give_back()
         p[np.asarray(pc.fill_null(pc.binary_length(texts), 0)) == 0] = 0.0
         return pa.array(p)
 

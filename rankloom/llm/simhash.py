@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, mix, slices, unused, utf8, words
+from rankloom.llm.common import cut, give_back, mix, runs, slices, unused, utf8, words
 
 BITS = 128
 #: Largest Hamming distance of near duplicates: documents that share about six words of seven.
@@ -81,11 +81,13 @@ def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         doc, hashed = doc[at], hashed[at]
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         number = np.diff(np.concatenate((first, [len(doc)])))
-        bits = np.unpackbits(np.stack([hashed, mix(hashed + np.uint64(0x632BE5AB))], 1).view(np.uint8).reshape(len(doc), 16), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        packed = np.packbits(ones * 2 > number[:, None], axis=1)
-        out[lo + doc[first]] = packed.view(np.uint64).reshape(-1, 2)
         count[lo + doc[first]] = number
+        for a, b in runs(number, 1 << 13):  # a word takes some 640 bytes here
+            some = hashed[first[a] : first[b - 1] + number[b - 1]]
+            bits = np.unpackbits(np.stack([some, mix(some + np.uint64(0x632BE5AB))], 1).view(np.uint8).reshape(len(some), 16), axis=1)
+            ones = np.add.reduceat(bits, first[a:b] - first[a], axis=0, dtype=np.int32)
+            packed = np.packbits(ones * 2 > number[a:b, None], axis=1)
+            out[lo + doc[first[a:b]]] = packed.view(np.uint64).reshape(-1, 2)
     return out, count
 
 
@@ -218,6 +220,7 @@ def _fingerprints(text: Column) -> Column:
     @F.arrow_udf("struct<hi:bigint,lo:bigint,n:int,node:bigint>")
     def run(texts: pa.Array) -> pa.Array:
         fps, n = fingerprint(texts)
+        give_back()
         cols = fps.view(np.int64)
         return pa.StructArray.from_arrays([pa.array(cols[:, 0]), pa.array(cols[:, 1]), pa.array(n.astype(np.int32)), pa.array(nodes(fps))], ["hi", "lo", "n", "node"])
 

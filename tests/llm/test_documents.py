@@ -771,3 +771,39 @@ def test_quality_query_against_plain_trees(spark):
     assert sorted(r.doc_id for r in got) == sorted(want)
     for r in got:
         assert r.score == pytest.approx(want[r.doc_id], abs=1e-6) and (r.keep == (want[r.doc_id] >= quality.THRESHOLD))
+
+
+# memory of the Python workers
+
+
+def test_word_statistics_and_fingerprints_take_little_memory_beside_the_texts():
+    """Peak of what is allocated meanwhile, for 2 MB of texts and for one text of 2 MB; the results are those of each text alone."""
+    import tracemalloc
+
+    from rankloom.llm.common import utf8, words
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**5, 400)) for _ in range(800)]
+    for some in (texts, [" ".join(texts)], ["x" * 300_000, "", *texts[:2], "-", None, *texts[2:]]):
+        a = pa.array(some)
+        for limit, run in ((40e6, lambda: words(*utf8(a))), (60e6 if len(some) > 1 else 300e6, lambda: simhash.fingerprint(a))):  # noqa: B023
+            run()  # what is kept from then on
+            tracemalloc.start()
+            run()
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < limit
+        fps, number = simhash.fingerprint(a)
+        alone = [simhash.fingerprint(pa.array([t], pa.string())) for t in some[:40]]
+        assert (fps[:40] == np.concatenate([f for f, _ in alone])).all() and (number[:40] == np.concatenate([n for _, n in alone])).all()
+
+
+def test_words_hash_alike_however_they_are_dealt_out(monkeypatch):
+    from rankloom.llm import common
+
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("ab é-\n"), r.integers(0, 60))) for _ in range(200)] + ["x" * 5000]
+    whole = common.words(*common.utf8(pa.array(texts)))
+    for step in (1, 7, 300):
+        monkeypatch.setattr(common, "HASHED_BYTES", step)
+        assert all((x == y).all() for x, y in zip(whole, common.words(*common.utf8(pa.array(texts)))))
