@@ -95,7 +95,7 @@ def test_best_are_the_first_of_all_by_rounded_score(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["bm25_unigram", "bm25_bigram", "bm25_phrase", "bm25_phrase_half", "bm25_all_words", "bm25_total", "bm25_predictions"])
+@pytest.mark.parametrize("name", ["bm25_unigram", "bm25_bigram", "bm25_phrase", "bm25_phrase_half", "bm25_all_words", "bm25_total", "bm25_predictions", "tfidf_pair_score_3", "tfidf_pair_scores"])
 def test_no_pairs_are_shuffled_or_joined(spark, name):
     import __spark_entry__ as entry
 
