@@ -101,3 +101,11 @@ def test_no_pairs_are_shuffled_or_joined(spark, name):
 
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan and "LogicalRDD" not in plan
+
+
+def test_documents_that_share_only_short_words_are_ranked(spark, tmp_path):
+    from rankloom.plans import texts
+
+    spark.createDataFrame([(1, "the cat sat"), (2, "mountain view"), (3, "cat")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "the cat of the mountain")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.doc_id for r in texts.topn_docs_per_query(spark, str(tmp_path)).collect()} == {1, 2, 3}
