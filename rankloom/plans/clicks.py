@@ -193,8 +193,12 @@ def filter_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {BASE} select distinct query, url, case when c = 1 then 'clicked' else 'shown' end as kind from ent")
 def query_link_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = S.profiles(_in(spark, d)[0])
-    return S.link_index(p, "shown").select("query", F.col("link").alias("url"), F.lit("shown").alias("kind")).unionByName(S.link_index(p, "clicked").select("query", F.col("link").alias("url"), F.lit("clicked").alias("kind")))
+    return S.link_rows(_in(spark, d)[0]).select("query", F.col("link").alias("url"), F.when(F.col("clicked"), "clicked").otherwise("shown").alias("kind"))
+
+
+def _asked(log: DataFrame) -> DataFrame:
+    """What of the profiles the words need."""
+    return log.select("query").distinct()
 
 
 _WORDS = "wd as (select query, unnest(list_filter(regexp_split_to_array(query, '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) as word from qall)"
@@ -202,7 +206,7 @@ _WORDS = "wd as (select query, unnest(list_filter(regexp_split_to_array(query, '
 
 @query(f"with {BASE}, {_WORDS} select word, query from wd")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return S.inverted_index(S.profiles(_in(spark, d)[0]))
+    return S.inverted_index(_asked(_in(spark, d)[0]))
 
 
 _LINKS = """
@@ -220,8 +224,8 @@ rk as (select *, row_number() over (partition by query order by round(dist, 12)
 @query(f"with {KNOWN}, {_LINKS} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from rk where rank <= 20")
 def query_similarity_links_top20(spark: SparkSession, d: str) -> DataFrame:
     log, queries, _ = _some(spark, d)
-    known, every = S.split_profiles(S.profiles(log), queries)
-    dist = S.link_distances(known, every).withColumn("dist", F.round("dist", 12))
+    every = S.link_rows(log)
+    dist = S.row_distances(every.join(queries.select("query"), "query", "left_semi"), every).withColumn("dist", F.round("dist", 12))
     return rounded(S.top_similar(dist, threshold=None))
 
 
@@ -239,7 +243,7 @@ tk as (select *, row_number() over (partition by query order by round(dist, 12)
 @query(f"with {KNOWN}, {_TEXT} select query, rank::int as rank, sim as \"similar\", round(dist, 6) as dist from tk where rank <= 20")
 def query_similarity_text_top20(spark: SparkSession, d: str) -> DataFrame:
     log, queries, _ = _some(spark, d)
-    known, every = S.split_profiles(S.profiles(log), queries)
+    known, every = S.split_profiles(_asked(log), queries)
     return rounded(S.top_similar(S.text_distances(known, every).withColumn("dist", F.round("dist", 12))))
 
 
@@ -249,7 +253,7 @@ def query_similarity_text_top20(spark: SparkSession, d: str) -> DataFrame:
 )
 def extend_query_dictionary(spark: SparkSession, d: str) -> DataFrame:
     log, queries, _ = _some(spark, d)
-    known, every = S.split_profiles(S.profiles(log), queries)
+    known, every = S.split_profiles(_asked(log), queries)
     return S.extend_dictionary(queries, S.top_similar(S.text_distances(known, every))).select(F.col("query_id").cast("bigint").alias("query_id"), "query")
 
 

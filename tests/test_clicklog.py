@@ -125,3 +125,28 @@ def test_streaming_counts(spark, tmp_path, log):
     q.stop()
     got = {(r.query, r.url): (r.clicks, r.shows) for r in spark.table("ctr").collect()}
     assert got[("foo bar", "b.ru")] == (2, 2) and got[("baz", "c.net")] == (0, 1)
+
+
+def test_known_sessions_are_the_same_however_often_the_log_is_made(spark):
+    """Sessions were numbered anew for each test they must pass, and a log that comes in another order had others pass."""
+    from pyspark.sql import functions as F
+
+    n = 400
+    log = spark.range(n).repartition(7).select(
+        F.when(F.col("id") % 2 == 0, "known").otherwise("other").alias("query"), F.array(F.concat(F.lit("u"), F.col("id").cast("string"))).alias("shown"), F.array().cast("array<string>").alias("clicked")
+    ).orderBy(F.rand())
+    queries, urls = spark.createDataFrame([("known",)], "query string"), spark.range(1, n, 4).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    for _ in range(3):
+        got = {r["query"]: r.shown for r in S.known_profiles(log, queries, urls).collect()}
+        assert got == {"known": sorted(f"u{i}" for i in range(0, n, 2)), "other": sorted(f"u{i}" for i in range(1, n, 4))}
+
+
+def test_links_that_two_queries_share_are_counted_without_lists(spark):
+    log = spark.createDataFrame([("a", ["x", "y"], ["x"]), ("b", ["x"], ["x"]), ("c", ["x"], []), ("a", [], ["z"]), ("d", None, None)], "query string, shown array<string>, clicked array<string>")
+    rows = S.link_rows(log)
+    assert sorted((r["query"], r.clicked, r.link) for r in rows.collect()) == [("a", False, "x"), ("a", False, "y"), ("a", True, "x"), ("a", True, "z"), ("b", False, "x"), ("b", True, "x"), ("c", False, "x")]
+    dist = S.row_distances(rows, rows)
+    assert {(r["query"], r.similar): r.dist for r in dist.collect()} == {("a", "b"): 3.0, ("b", "a"): 3.0}
+    plan = dist._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    assert {r["query"]: (r.shown, r.clicked) for r in S.profiles(log).collect()} == {"a": (["x", "y"], ["x", "z"]), "b": (["x"], ["x"]), "c": (["x"], []), "d": ([], [])}
