@@ -1,6 +1,7 @@
 """The registered queries against their SQL on the smallest tables, and the package without its training-data part."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -50,3 +51,13 @@ def test_imports_without_the_training_data_part(tmp_path):
         shutil.copytree(src, dst, ignore=shutil.ignore_patterns("llm", "__pycache__")) if os.path.isdir(src) else shutil.copy(src, dst)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'features_qd' in q and not any(k.startswith('op1') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def planned(spark, name):
+    return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["qdoc_ctr", "features_qd", "unscored_share", "unscored_urls"])
+def test_a_log_of_few_queries_is_not_dealt_out_by_query(spark, name):
+    plan = planned(spark, name)
+    assert "BroadcastHashJoin [query" in plan and not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[query#\d+\]", plan)
