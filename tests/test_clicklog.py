@@ -150,3 +150,9 @@ def test_links_that_two_queries_share_are_counted_without_lists(spark):
     plan = dist._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "collect_set" not in plan
     assert {r["query"]: (r.shown, r.clicked) for r in S.profiles(log).collect()} == {"a": (["x", "y"], ["x", "z"]), "b": (["x"], ["x"]), "c": (["x"], []), "d": ([], [])}
+
+
+def test_counts_of_pairs_and_sessions_in_one_pass(spark):
+    log = spark.createDataFrame([("a", ["x", "y"], ["x", "x"]), ("a", [], ["z"]), ("a", [], []), ("b", None, None), ("b", ["x"], [])], "query string, shown array<string>, clicked array<string>")
+    got = {(r["query"], r.url): (r.clicks, r.shows, r.sessions) for r in C.counted_pairs(log).collect()}
+    assert got == {("a", "x"): (2, 1, 1), ("a", "y"): (0, 1, 0), ("a", "z"): (1, 0, 1), ("a", None): (0, 0, 1), ("b", None): (0, 0, 1), ("b", "x"): (0, 1, 1)}

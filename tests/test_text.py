@@ -247,3 +247,14 @@ def test_profiles_of_known_sessions_and_sorted_vocabulary(spark):
         assert got == {"a": (["x"], []), "b": (["x", "y"], ["y"])}
     words = spark.createDataFrame([("b c",), ("a b",)], "query string")
     assert [r.word for r in S.vocabulary(words).collect()] == ["a", "b", "c"]
+
+
+def test_only_the_first_of_each_query_are_moved_for_the_metric(spark):
+    rows = [(1, u, u % 3, u * 7 % 11) for u in range(20)] + [(2, 1, 0, 5), (3, 1, 2, None), (3, 2, 1, 1)]
+    got = L.ndcg(spark.createDataFrame(rows, "query_id int, url_id int, mark int, score int"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    gain = lambda marks: sum((2**m - 1) / math.log2(i + 2) for i, m in enumerate(marks[:5]))
+    by = sorted((r for r in rows if r[0] == 1), key=lambda r: (-r[3], r[1]))
+    best = sorted((r[2] for r in rows if r[0] == 1), reverse=True)
+    want = {1: gain([r[2] for r in by]) / gain(best), 2: 1.0, 3: gain([1, 2]) / gain([2, 1])}
+    assert {r.query_id: round(r.ndcg, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
