@@ -258,3 +258,12 @@ def test_only_the_first_of_each_query_are_moved_for_the_metric(spark):
     best = sorted((r[2] for r in rows if r[0] == 1), reverse=True)
     want = {1: gain([r[2] for r in by]) / gain(best), 2: 1.0, 3: gain([1, 2]) / gain([2, 1])}
     assert {r.query_id: round(r.ndcg, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_words_are_cut_in_one_pass(spark):
+    for text, want in (("A1b2&nbsp;c&NBSP;d", ["a", "1", "b", "2", "c", "d"]), ("&&nbsp;x&nbs&mdash;p;é9", ["x", "nbs", "p", "é", "9"]), ("", []), ("--", []), ("12٣a", ["12٣", "a"])):
+        column = X.tokenize(F.lit(text), boundaries=True)
+        assert one(spark, column) == want
+        assert one(spark, X.tokenize(F.lit(text))) == one(spark, F.filter(F.split(X.clean_text(F.lit(text)), " +"), lambda x: x != ""))
+    plan = spark.range(1).select(X.tokenize(F.col("id").cast("string"), boundaries=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_replace" not in plan
