@@ -260,6 +260,18 @@ def test_only_the_first_of_each_query_are_moved_for_the_metric(spark):
     assert {r.query_id: round(r.ndcg, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_grams_of_a_document_are_counted_where_it_is(spark, tmp_path):
+    from rankloom.plans import texts
+
+    rows = [(1, "a b a c a b"), (2, "x"), (3, None), (4, "a b c"), (4, "a d c e")]  # one document in two rows: its grams count together
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = texts.word_ngrams_gap(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 4, 3, "a a"), (4, 3, 2, "a c")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "collect_list(text" in plan  # what moves are texts, not their grams
+
+
 def test_words_are_cut_in_one_pass(spark):
     for text, want in (("A1b2&nbsp;c&NBSP;d", ["a", "1", "b", "2", "c", "d"]), ("&&nbsp;x&nbs&mdash;p;é9", ["x", "nbs", "p", "é", "9"]), ("", []), ("--", []), ("12٣a", ["12٣", "a"])):
         column = X.tokenize(F.lit(text), boundaries=True)
