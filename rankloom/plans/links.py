@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,9 +133,9 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.hits(A.graph_edges(spark, d)), 3)
 
 
-@F.pandas_udf(T.BinaryType())
-def _deflate(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: zlib.compress((t or "").encode()))
+@F.arrow_udf(T.BinaryType())
+def _deflate(s: pa.Array) -> pa.Array:
+    return X.in_runs(s, lambda t: zlib.compress((t or "").encode()), pa.binary())
 
 
 @query("select page_id, coalesce(html, '') as html from pages")
